@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, quality_rules, simhash_golay
+from . import bpe_segment_tree, common, packing, quality_rules, separator_scan, simhash_golay, sstable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +26,29 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_shards(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_segment_tree.encode_decode(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.document_token_counts(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_golay": op3_simhash_golay,
+    "op6_sorted_string_table": op6_sorted_string_table,
+    "op7_nnls_packing": op7_nnls_packing,
+    "op9_segment_tree_bpe": op9_segment_tree_bpe,
+    "op10_separator_scan": op10_separator_scan,
 }
 
 #: Where SQL can express the whole operator.
