@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_segment_tree, common, packing, quality_rules, separator_scan, simhash_golay, sstable
+from . import bpe_segment_tree, common, locally_consistent, packing, quality_rules, separator_scan, simhash_golay, sstable, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def op6_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -34,6 +38,10 @@ def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_locally_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locally_consistent.fingerprints_with_edits(common.documents(spark, sf_dir))
+
+
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segment_tree.encode_decode(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,8 +53,10 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_golay": op3_simhash_golay,
+    "op4_compression_toxicity": op4_compression_toxicity,
     "op6_sorted_string_table": op6_sorted_string_table,
     "op7_nnls_packing": op7_nnls_packing,
+    "op8_locally_consistent": op8_locally_consistent,
     "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_separator_scan": op10_separator_scan,
 }
