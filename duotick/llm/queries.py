@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_segment_tree, common, locally_consistent, packing, quality_rules, separator_scan, simhash_golay, sstable, toxicity
+from . import bpe_segment_tree, common, line_templates, locally_consistent, packing, quality_rules, separator_scan, simhash_golay, sstable, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(common.documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rewritten = line_templates.drop_recurring_lines(common.documents(spark, sf_dir).select("doc_id", "text"), count_as="n_dropped")
+    return rewritten.select("doc_id", "text", "n_dropped")
+
+
 def op6_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_compression_toxicity": op4_compression_toxicity,
+    "op5_line_templates": op5_line_templates,
     "op6_sorted_string_table": op6_sorted_string_table,
     "op7_nnls_packing": op7_nnls_packing,
     "op8_locally_consistent": op8_locally_consistent,
