@@ -4,25 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duotick.llm import common, quality_rules, simhash_golay
+from duotick.llm import common, line_templates, packing, pii, quality_rules, simhash_golay
+
+#: A key for the test tables; a real one is a secret.
+PII_KEY = "duotick test key"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned list reject go."""
     return quality_rules.reject_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from all documents but the first that has them."""
+    return line_templates.drop_recurring_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: the one with the least id."""
     return simhash_golay.one_of_each_component(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities give way to surrogates."""
+    return pii.replace_entities(docs, PII_KEY)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' pieces in sequences of 1,024 ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
+    ("line_dedup", lines),
     ("simhash_near_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("packing", pack),
 ]
 
-#: Rules learned from labels and fingerprints have no SQL form; tests hold the stages against brute force.
+#: Learned rules, fingerprints and token ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_segment_tree, common, line_templates, locally_consistent, packing, quality_rules, separator_scan, simhash_golay, sstable, toxicity
+from . import bpe_segment_tree, common, line_templates, locally_consistent, packing, pii, quality_rules, separator_scan, simhash_golay, sstable, toxicity
+
+#: A key for the test tables; a real one is a secret.
+PII_KEY = "duotick test key"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rewritten = pii.replace_entities(common.documents(spark, sf_dir).select("doc_id", "text"), key=PII_KEY, count_as="n_entities")
+    return rewritten.select("doc_id", "n_entities", "text")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.quality_verdicts(common.documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -56,6 +64,7 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_golay": op3_simhash_golay,
     "op4_compression_toxicity": op4_compression_toxicity,
