@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import common, encoding
 
@@ -228,7 +228,7 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, rows_of_salt: int = 50_
         return pa.RecordBatch.from_arrays([*(common.column(batch, c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     columns = pieces.columns
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return common.map_batches(ranked.select(*columns, "__rank"), place, schema)
 
 

@@ -96,8 +96,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
         counts = _stats_batch(b)
         return b.append_column(_COUNTED, pa.StructArray.from_arrays(counts.columns[1:], names=list(COUNTS)))
 
-    counts_type = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
-    return common.map_batches(docs, batch, docs.schema.add(_COUNTED, T._parse_datatype_string(counts_type)))
+    counted = T.StructField(_COUNTED, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+    schema = T.StructType([*docs.schema.fields, counted])
+    return common.map_batches(docs, batch, schema)
 
 
 #: Features of a rule, as SQL over the counts.
