@@ -59,7 +59,7 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_separators(files: DataFrame, folder: str, end_id: int, width: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """``file``, ``ordinal`` and ``n_tokens`` of every document in the files; ``files(file, bytes)``, ids of ``width`` bytes."""
-    common.ship_package(files.sparkSession)
+    common.prepare(files.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +77,7 @@ def scan_separators(files: DataFrame, folder: str, end_id: int, width: int, bloc
     stitched = found.select(
         "file", "places",
         F.coalesce(F.sum(F.size("places")).over(earlier), F.lit(0)).alias("seen"),
-        F.coalesce(F.max(F.element_at("places", -1)).over(earlier), F.lit(-1)).alias("last"),
+        F.coalesce(F.max(F.array_max("places")).over(earlier), F.lit(-1)).alias("last"),
     ).where(F.size("places") > 0)
     starts = F.concat(F.array("last"), F.slice("places", 1, F.size("places") - 1))
     counted = stitched.select("file", "seen", F.posexplode(F.arrays_zip(F.col("places").alias("stop"), starts.alias("start"))).alias("i", "at"))
@@ -88,7 +88,7 @@ def document_token_counts(docs: DataFrame, tokenizer_path: str, end_id: int, blo
     """``doc_id`` and ``n_tokens``: documents are written to flat files, and these scanned."""
     spark = docs.sparkSession
     folder = folder or common.scratch_path(spark, "tokens")
-    common.ship_package(spark)
+    common.prepare(spark)
     places = write_token_files(docs, folder, tokenizer_path, end_id)
     width = int(encoding.encoder(tokenizer_path, special_as_text=True).dtype[-1])
     counts = scan_separators(token_files(spark, folder), folder, end_id, width, block_ids)

@@ -1,0 +1,480 @@
+"""Operators against plain Python on whole small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from duotick.llm import bpe_segment_tree, encoding, golay, line_templates, locally_consistent, packing, pii, quality_rules, queries, separator_scan, simhash_golay, sstable, toxicity
+
+from ..conftest import SF
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def words_of(text):
+    for c in SPACES[1:]:
+        text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="module")
+def byte_ids(documents):
+    t = Tokenizer.from_file(BYTE)
+    return {i: t.encode(x, add_special_tokens=False).ids for i, x in documents.items()}
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# -- op2 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_counts(spark, documents):
+    got = by_id(queries.op2_quality_rules(spark, SF))
+    assert got.keys() == documents.keys()
+    for i, text in documents.items():
+        words, r = words_of(text), got[i]
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        seen = Counter(windows)
+        covered = {k + j for k, w in enumerate(windows) if seen[w] > 1 for j in range(5)}
+        lines, earlier, dup = text.split("\n"), set(), 0
+        for line in lines:
+            dup += bool(words_of(line)) and line in earlier
+            earlier.add(line)
+        want = (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
+        assert r["kept"] == (not r["base_failed"] and r["rule"] == 0)
+
+
+def test_decision_list_finds_planted_rules():
+    rng = np.random.default_rng(1)
+    x = {k: rng.random(6000) for k in quality_rules.FEATURES}
+    poor = (x["symbols_per_word"] > 0.8) | ((x["upper_share"] > 0.7) & (x["mean_word_chars"] < 0.5))
+    rules = quality_rules.learn_decision_list(x, poor)
+    found = np.zeros(6000, dtype=bool)
+    for rule in rules:
+        found |= quality_rules._covers(rule, x, 6000)
+    assert (found & poor).sum() / poor.sum() > 0.95 and (found & ~poor).sum() < 0.02 * poor.sum()
+
+
+def test_rules_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    stats = quality_rules.document_stats(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    rules = quality_rules.learn_decision_list(*quality_rules.labelled_sample(stats, labels.where(~held)))
+    rows = quality_rules.apply_rules(stats, rules).join(labels.where(held), "doc_id").select("kept", "quality").toPandas()
+    good, poor = rows[rows.quality == 1], rows[rows.quality == 0]
+    assert good.kept.mean() > 0.97 and (~poor.kept).mean() > 0.5
+
+
+# -- op3 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_golay_code():
+    words = golay.codewords()
+    assert len(set(words.tolist())) == 4096 and min(np.bitwise_count(words[1:])) == 7
+    assert len(golay.weight_seven()) == 253 and len(golay.leaders()) == 2048
+    table = golay.keys(16)
+    has = [set(r[r >= 0].tolist()) for r in table]
+    for w in range(0, 1 << 16, 7):
+        assert len(has[w]) in (1, 6) and all(has[w] & has[w ^ (1 << b)] for b in range(16))
+
+
+def test_any_three_bits_share_a_key():
+    rng = random.Random(5)
+    for _ in range(400):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), 3):
+            b ^= 1 << bit
+        _, ka = simhash_golay.golay_keys(np.array([a], dtype=np.uint64))
+        _, kb = simhash_golay.golay_keys(np.array([b], dtype=np.uint64))
+        assert set(ka.tolist()) & set(kb.tolist())
+
+
+def slow_fingerprint(text):
+    words = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(prints):
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_components(spark, documents):
+    got = by_id(queries.op3_simhash_golay(spark, SF))
+    prints = {i: slow_fingerprint(t) for i, t in documents.items()}
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {i: r["component_id"] for i, r in got.items()} == slow_components(prints)
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_chains_and_large_keys(spark, block):
+    """Chains of three bits, and a ball of fingerprints in few keys, cut into blocks."""
+    rng = random.Random(3)
+    prints = []
+    for _ in range(6):
+        p = rng.getrandbits(64)
+        for _ in range(12):
+            prints.append(p)
+            for bit in rng.sample(range(64), 3):
+                p ^= 1 << bit
+    center = rng.getrandbits(64)
+    prints += [center ^ (1 << a) ^ (1 << b) for a in range(0, 16, 2) for b in range(33, 48, 3)]
+    prints = list(dict.fromkeys(prints))
+    signed = [(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)]
+    links = simhash_golay.fingerprint_links(spark.createDataFrame(signed, "fp long, rep long"), block=block)
+    parts = {r["node"]: r["component"] for r in simhash_golay.connected_components(links).collect()}
+    assert {i: parts.get(i, i) for i in range(len(prints))} == slow_components(dict(enumerate(prints)))
+
+
+# -- op4 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op4_compression_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    assert got.held_out.tolist() == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]
+    test = got[got.held_out]
+    rank, toxic = test.score.rank(), test.toxic == 1
+    n = toxic.sum()
+    auc = (rank[toxic].sum() - n * (n + 1) / 2) / (n * (len(test) - n))
+    assert auc > 0.9
+    assert (test.predicted == (test.score >= 0.3)).all() and test.score.between(0, 1).all()
+    assert test[~toxic].predicted.mean() < 0.06
+
+
+def test_toxic_words_are_found_not_copies():
+    plain = [f"alpha beta gamma number{i} delta" for i in range(300)]
+    foul = [f"alpha beta badword number{1000 + i} delta" for i in range(60)]
+    assert toxicity.toxic_words(plain, foul) == {b"badword"}
+
+
+# -- op5 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_lines_with_variable_fields(spark):
+    noise = "An own line of document {} with words {} {} that nobody shares at all"
+    texts = {i: f"{noise.format('abcdefgh'[i], 'klmnopqr'[i] * 4, 'stuvwxyz'[i] * 5)}\nRequest number {i}77 was served by host alpha\nThe {'red green blue black white'.split()[i % 5]} fox runs over" for i in range(6)}
+    texts[6] = "tail one\nRequest number 1 was served by nobody else"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert got[0] == texts[0].split("\n")  # the first keeps its lines
+    for i in range(1, 6):
+        assert not any(x.startswith("Request number") for x in got[i])
+    assert got[6] == texts[6].split("\n")
+
+
+def test_exact_recurring_lines(spark, documents):
+    first, found = {}, Counter()
+    for i in sorted(documents):
+        for line in set(documents[i].split("\n")):
+            if len(line.split()) >= 3:
+                first.setdefault(line, i)
+                found[line] += 1
+    got = by_id(queries.op5_line_templates(spark, SF))
+    for i, text in documents.items():
+        left = got[i]["text"].split("\n")
+        assert len(left) + got[i]["n_dropped"] == len(text.split("\n")) or got[i]["text"] == ""
+        for line in text.split("\n"):
+            if found[line] >= 3 and first[line] != i:
+                assert line not in left
+        # what stays is in order
+        rest = iter(text.split("\n"))
+        assert got[i]["text"] == "" or all(any(x == y for y in rest) for x in left)
+
+
+def test_merge_in_parts(spark):
+    """Lines that differ in their last token are one template, whether their leaf is merged at once or in parts."""
+    lines = []
+    for g in "abc":
+        for k in range(40):
+            last = "v" + "abcdefghij"[k % 10] + "abcdefghij"[k // 10]
+            _, n, leaf, line, tail = next(line_templates.line_rows(f"lead{g} two three four five t t t t {last}"))
+            lines.append((leaf, line, n, tail))
+    df = spark.createDataFrame(lines, "leaf long, line long, n int, tail binary")
+    for part in (2000, 7):
+        got = line_templates.line_templates(df, part_lines=part).collect()
+        assert len(got) == 120 and len({r["template"] for r in got}) == 3
+
+
+# -- op1 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "Mr. John Smith wrote to mary.o@Acme-Corp.example.com. Smith said +1 (017) 555-7713, or 10.1.2.3 and 192.168.0.4."),
+        (2, "Mrs Anna Smith, MARY.O@ACME-CORP.EXAMPLE.COM 4111 1111 1111 1111 card 4111111111111111; 9807915762804490"),
+        (3, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" TOKEN = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962"!!'),
+        (4, "Г-н Иван Петров и Г-жа Анна Петров. DE89 3704 0044 0532 0130 00 ssn 123-45-6789 und ü.34@mail7.example.com"),
+        (5, "Licensed under CC BY-NC 4.0. Version 2.0, 1999."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, "k").collect()}
+    again = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, "k").collect()}
+    other = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, "another").collect()}
+    assert got == again and got[1] != other[1] and got[5] == rows[4][1]
+    w1, w2 = got[1].split(), got[2].split()
+    surname = w1[2]
+    assert surname not in ("Smith", "John") and w1[6] == surname and w2[2] == surname + ","  # one person's name everywhere
+    mail = w1[5].rstrip(".")
+    assert w2[3] == mail.upper() and mail.endswith(".com") and len(mail) == len("mary.o@Acme-Corp.example.com") and mail.split("@")[1][0].isupper()
+    card = "".join(w2[4:8])
+    assert card == w2[9].rstrip(";") and card[0] == "4" and card != "4" + "1" * 15
+    luhn = lambda s: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(s))) % 10 == 0
+    assert luhn(card) and luhn(w2[10]) == luhn("9807915762804490")
+    assert " 10." in got[1] and " 192.168." in got[1] and "10.1.2.3" not in got[1] and "555-7713" not in got[1]
+    a, b = got[3].split('"')[1], got[3].split('"')[3]
+    assert a.upper() == b and len(a) == 40 and a != "04dbebab91ab85687d33eeaaf9ac699e1188f962" and int(a, 16)
+    w4 = got[4].split()
+    assert all("а" <= c.lower() <= "я" for c in w4[1] + w4[2]) and w4[2] == w4[6].rstrip(".") and w4[1] != w4[5]
+    assert got[4].count("DE") >= 1 and "@" in w4[-1]
+
+
+def test_collisions_are_drawn_anew(spark):
+    """Twenty addresses of one letter in a space of 26, entities among them: distinct, and none is an entity."""
+    names = "abcdefghijklmnopqrst"
+    entities = spark.createDataFrame([("email", f"{c}@x.org") for c in names] + [("ssn", "123456789")], "kind string, canon string")
+    got = {r["canon"]: r["surrogate"] for r in pii.surrogates(entities, "k").collect()}
+    assert len(got) == 21 and len(set(got.values())) == 21 and not set(got) & set(got.values())
+
+
+def test_entities_of_the_documents_are_gone(spark, documents):
+    import re
+
+    got = by_id(queries.op1_pii_surrogates(spark, SF))
+    found = re.compile(r"[\w.]+@[\w.]+\w|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\+1 \(\d{3}\) \d{3}-\d{4}|[0-9a-fA-F]{40}")
+    for i, text in documents.items():
+        old, new = found.findall(text), found.findall(got[i]["text"])
+        assert len(old) == len(new) and not set(old) & set(new)
+        if not old:
+            assert got[i]["text"] == text
+        assert len(got[i]["text"].split()) == len(text.split())
+
+
+def test_pii_has_no_python(spark):
+    plan = queries.op1_pii_surrogates(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# -- op6, op7, op10 ---------------------------------------------------------------------------------------------------------
+
+
+ODD = ["", " ", "a  b", "a \nb", "\n\n\n x", "<|endoftext|> hi<|endoftext|>", "x\0y", "it's 12 don't  ", "a\tb \t c", "a b", "é ́x 123456", " lead", "tail\n", "a᠎b", "we'll,", "ABC!! D!!", "日本語 😀 ok"]
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder(documents, special_as_text):
+    enc = encoding.Encoder(BYTE, special_as_text)
+    for text in [*ODD, *list(documents.values())[:80]]:
+        assert enc.encode(text) == enc.whole(text), text
+
+
+def test_shards(spark, documents, byte_ids):
+    got = by_id(queries.op6_sorted_string_table(spark, SF))
+    at = 0
+    for i in sorted(documents):
+        ids = np.array([*byte_ids[i], 2], dtype="<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_shard_lookup(tmp_path):
+    rng = random.Random(2)
+    keys = sorted(rng.sample(range(-(10**6), 10**6), 3000))
+    with open(tmp_path / "s", "wb") as out:
+        writer = sstable.ShardWriter(out, 2)
+        for k in [None, *keys, keys[-1]]:
+            writer.add(sstable.key_of(k), np.arange((k or 0) % 90, dtype="<u2").tobytes())
+        writer.finish()
+    from pyarrow import fs
+
+    store = fs.LocalFileSystem()
+    reader = sstable.ShardReader(store.open_input_file(str(tmp_path / "s")))
+    assert [sstable.doc_id_of(k) for k, _ in reader] == [None, *keys, keys[-1]] and len(reader._places) > 3
+    for k in keys[::37]:
+        assert [x.tolist() for x in reader.lookup(k)][:1] == [list(range(k % 90))]
+    assert len(reader.lookup(keys[-1])) == 2 and len(reader.lookup(None)) == 1
+    absent = [k for k in range(-1000, 1000) if k not in set(keys)]
+    assert not any(reader.lookup(k) for k in absent)
+    assert sum(reader.may_have(sstable.key_of(k)) for k in absent) < 0.03 * len(absent)
+
+
+def test_packing(spark, documents, byte_ids):
+    rows = queries.op7_nnls_packing(spark, SF).collect()
+    sequences, pieces = {}, {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], []).append(r)
+    total = padding = 0
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 1024
+        total += at
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+    assert sorted(sequences) == list(range(len(sequences))) and padding < 0.06 * total
+    for i, ids in byte_ids.items():
+        ids = [*ids, 0]
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], dtype="<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+
+
+def test_packed_ids(spark, documents, byte_ids):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    packed = packing.pack_documents(docs, BYTE, keep_ids=True).cache()
+    whole = {r["sequence_id"]: np.frombuffer(r["ids"], dtype="<u4") for r in packing.packed_sequences(packed).collect()}
+    for r in packed.collect():
+        ids = [*byte_ids[r["doc_id"]], 0][r["start"] : r["start"] + r["length"]]
+        assert whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tolist() == ids
+    assert all(len(x) == 1024 or len(x) & (len(x) - 1) == 0 for x in whole.values())
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 50, 3000, 400_000])
+def test_plans(n):
+    rng = np.random.default_rng(n)
+    hist = np.bincount(rng.integers(1, 1025, n), minlength=1025)
+    plan = packing.plan_packing(hist)
+    fill = np.zeros(plan.sequences, dtype=np.int64)
+    for length in np.flatnonzero(hist).tolist():
+        sequence, offset = plan.place(np.full(hist[length], length), np.arange(hist[length]))
+        np.add.at(fill, sequence, length)
+        assert (offset + length <= 1024).all()
+    assert (fill > 0).all() and (fill <= 1024).all() and fill.sum() == (hist * np.arange(1025)).sum()
+    if n >= 3000:
+        assert plan.padding < 0.02 * fill.sum()
+
+
+def test_token_counts(spark, documents):
+    t = Tokenizer.from_file(BYTE)
+    t.encode_special_tokens = True
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for block in (1 << 21, 1000, 7):
+        if block == 7:
+            docs = docs.where("doc_id < 12")
+        got = {r["doc_id"]: r["n_tokens"] for r in separator_scan.document_token_counts(docs, BYTE, 50256, block).collect()}
+        assert got == {i: len(t.encode(documents[i], add_special_tokens=False).ids) for i in got} and len(got) == docs.count()
+
+
+# -- op8 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark, documents):
+    got = by_id(queries.op8_locally_consistent(spark, SF))
+    ids = sorted(documents)
+    for k, i in enumerate(ids):
+        following = documents[ids[(k + 1) % len(ids)]]
+        text = documents[i]
+        n = len(text) // 4
+        changed = text[: len(text) - n] + following[:n]
+        r = got[i]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert r["fingerprint"] == locally_consistent.as_text(locally_consistent.sketches([text])[0])
+        assert r["edited_fingerprint"] == locally_consistent.as_text(locally_consistent.sketches([changed])[0])
+    long = [r for r in got.values() if r["n_chars"] > 400]
+    assert np.mean([r["near_edited"] > r["near_next"] for r in long]) > 0.98
+
+
+def test_equal_substrings_share_names(documents):
+    text = max(documents.values(), key=len)
+    a, b, c, d = locally_consistent.sketches([text, "xyz!" + text, "1234567" + text + "q", text])
+    assert (a == d).all() and locally_consistent.likeness(a, b) > 0.9 and locally_consistent.likeness(a, c) > 0.9
+
+
+def test_parsing_does_not_depend_on_the_batch():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab c") for _ in range(rng.choice([0, 1, 2, 3, 9, 50]))) for _ in range(300)] + ["a" * k for k in range(9)] + ["ab" * 40, "aaab" * 30]
+    alone = [locally_consistent.as_text(locally_consistent.sketches([t])[0]) for t in texts]
+    together = [locally_consistent.as_text(s) for s in locally_consistent.sketches(texts)]
+    assert alone == together
+
+
+def test_phrases_are_short():
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    symbols = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    starts = np.flatnonzero(locally_consistent.phrase_starts(symbols, np.array([0])))
+    assert starts[0] == 0 and np.diff(starts).max() <= 16 and np.diff(starts).min() >= 1
+
+
+# -- op9 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe(spark, documents):
+    t = Tokenizer.from_file(WORD)
+    got = by_id(queries.op9_segment_tree_bpe(spark, SF))
+    for i, text in documents.items():
+        ids = t.encode(text, add_special_tokens=False).ids
+        want = (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
+
+
+def test_bpe_of_odd_texts():
+    t, codec = Tokenizer.from_file(WORD), bpe_segment_tree.codec(WORD)
+    odd = [*ODD, "Don't STOP 123 it's", "<|endoftext|>a b<|startoftext|>C", "É́ ÉÀ ΣΑΣ İ ß", "a d\x1ce\x1ff", "x" * 3000, "ǅ ŉ", "a﻿b​c", "abc#*) ABC!! ) %%", "the" * 700]
+    for text in odd:
+        ids = t.encode(text, add_special_tokens=False).ids
+        raw, decoded = codec.encode(text)
+        assert np.frombuffer(raw, dtype="<u4").tolist() == ids and decoded == t.decode(ids, skip_special_tokens=False), text
+
+
+def test_segment_tree_equals_a_scan():
+    rng = random.Random(9)
+    merges, nxt = {}, 6
+    for rank in range(60):
+        pair = (rng.randrange(nxt), rng.randrange(nxt))
+        if pair not in merges:
+            merges[pair] = (rank, nxt)
+            nxt += 1
+    for _ in range(300):
+        word = [rng.randrange(6) for _ in range(rng.randrange(1, 40))]
+        slow = word.copy()
+        while True:
+            ranked = [(merges[p][0], k) for k, p in enumerate(zip(slow, slow[1:], strict=False)) if p in merges]
+            if not ranked:
+                break
+            k = min(ranked)[1]
+            slow[k : k + 2] = [merges[slow[k], slow[k + 1]][1]]
+        assert bpe_segment_tree.merge_symbols(word, merges) == slow
