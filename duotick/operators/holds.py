@@ -13,11 +13,11 @@ def hold(rows: DataFrame, key: str, frame: str, columns: list[str], span: int |
     return held.select(*(F.col(f"__held_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
-def change_only(rows: DataFrame, key: str, frame: str, columns: list[str]) -> DataFrame:
+def change_only(rows: DataFrame, key: str, frame: str, columns: list[str], span: int | None = None) -> DataFrame:
     """The inverse: a value equal to the row's before is omitted."""
-    w = Window.partitionBy(key).orderBy(frame)
-    changed = lambda c: F.when((F.row_number().over(w) == 1) | ~F.col(c).eqNullSafe(F.lag(c).over(w)), F.col(c))
-    return rows.select(*(changed(c).alias(c) if c in columns else F.col(c) for c in rows.columns))
+    found = ordered.previous_row(rows, [key], frame, {f"__was_{c}": F.col(c) for c in columns}, span)
+    changed = lambda c: F.when(~F.col(c).eqNullSafe(F.col(f"__was_{c}")), F.col(c))
+    return found.select(*(changed(c).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
 def set_writes(rows: DataFrame, ids: list[str], columns: list[str], register: str = "register", value: str = "value") -> DataFrame:

@@ -50,6 +50,35 @@ def running_sum(df: DataFrame, keys: list[str], order: str, columns: dict[str, C
     return joined.select(*df.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in columns))
 
 
+def running_max(df: DataFrame, keys: list[str], order: str, columns: dict[str, Column], span: int | None = None) -> DataFrame:
+    """``columns[name]``: an expression whose greatest value up to and with the row becomes column ``name``."""
+    if span is None:
+        w = _whole(keys, [order])
+        return df.select("*", *(F.max(c).over(w).alias(n) for n, c in columns.items()))
+    cut = _with_stretch(df, order, span)
+    tops = cut.groupBy(*keys, _STRETCH).agg(*(F.max(c).alias(f"__{n}") for n, c in columns.items()))
+    before = Window.partitionBy(*keys).orderBy(_STRETCH).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, _STRETCH, *(F.max(f"__{n}").over(before).alias(f"__{n}") for n in columns))
+    w = _whole([*keys, _STRETCH], [order])
+    inside = cut.select("*", *(F.max(c).over(w).alias(n) for n, c in columns.items()))
+    joined = inside.join(carried, [*keys, _STRETCH])
+    return joined.select(*df.columns, *(F.greatest(n, f"__{n}").alias(n) for n in columns))  # greatest skips nulls
+
+
+def previous_row(df: DataFrame, keys: list[str], order: str, columns: dict[str, Column], span: int | None = None) -> DataFrame:
+    """``columns[name]``: an expression whose value in the row before becomes column ``name``; null in the first row."""
+    row = F.struct(*(c.alias(n) for n, c in columns.items()))
+    if span is None:
+        found = df.select("*", F.lag(row).over(Window.partitionBy(*keys).orderBy(order)).alias("__row"))
+        return found.select(*df.columns, *(F.col("__row")[n].alias(n) for n in columns))
+    cut = _with_stretch(df, order, span).withColumn("__now", row)
+    ends = cut.groupBy(*keys, _STRETCH).agg(F.max_by("__now", order).alias("__end"))
+    carried = ends.select(*keys, _STRETCH, F.lag("__end").over(Window.partitionBy(*keys).orderBy(_STRETCH)).alias("__end"))
+    inside = cut.select("*", F.lag("__now").over(Window.partitionBy(*keys, _STRETCH).orderBy(order)).alias("__row"))
+    joined = inside.join(carried, [*keys, _STRETCH]).withColumn("__row", F.coalesce("__row", "__end"))
+    return joined.select(*df.columns, *(F.col("__row")[n].alias(n) for n in columns))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Rows of a key numbered from 0."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))

@@ -63,7 +63,7 @@ def hold(spark, d):
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE event_type IS DISTINCT FROM p")
 def change_only(spark, d):
-    rows = holds.change_only(_events(spark, d, "event_id", "user_id", "event_type"), "user_id", "event_id", ["event_type"])
+    rows = holds.change_only(_events(spark, d, "event_id", "user_id", "event_type"), "user_id", "event_id", ["event_type"], SPAN)
     return rows.where("event_type IS NOT NULL")
 
 
@@ -150,7 +150,7 @@ e AS (SELECT *, total + max(request - total + length) OVER (PARTITION BY user_id
 SELECT user_id, request, length, end_frame - length AS begin_frame, end_frame FROM e""")
 def deferred_start(spark, d):
     requests = _events(spark, d, "event_id", "user_id", "event_type").where(_is("signup")).select("user_id", F.col("event_id").alias("request"), (F.col("event_id") % 50 + 1).alias("length"))
-    return timers.deferred_start(requests, "user_id", "request", "length")
+    return timers.deferred_start(requests, "user_id", "request", "length", SPAN)
 
 
 @query("SELECT event_id, user_id, event_id % 48 + 1 AS ticks, CAST(coalesce(sum(event_id % 48 + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM events")

@@ -48,6 +48,13 @@ def test_running_values_do_not_depend_on_the_span(spark):
         assert rows(cut, "k", "i") == one
 
 
+def test_rows_before_and_maxima_do_not_depend_on_the_span(spark):
+    data = [(k, i, (i * 7 + k) % 5 if (i + k) % 3 else None) for k in range(3) for i in range(50)]
+    df = spark.createDataFrame(data, "k long, i long, v long")
+    both = lambda span: rows(ordered.previous_row(ordered.running_max(df, ["k"], "i", {"m": F.col("v")}, span), ["k"], "i", {"p": F.col("v")}, span), "k", "i")
+    assert both(1) == both(7) == both(64) == both(None)
+
+
 OPS = [
     (100, "A", "start", "SID"), (110, "B", "start", "Sync buzzer"), (120, "A", "stop", "SID"), (120, "D", "start", "Digidrum"), (130, "A", "start", "Wavetable"),
     (140, "A", "retune", "Wavetable"), (140, "D", "stop", "Digidrum"), (150, "A", "remap", "Wavetable"), (150, "B", "stop", "Sync buzzer"), (160, "A", "stop", "Wavetable"),
