@@ -217,8 +217,8 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMP
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows)
     )
-    once = stats.dropDuplicates(["doc_id"])
-    rows = chosen.join(once, "doc_id").select("h", "doc_id", "quality", *(F.expr(e).alias(f"f_{k}") for k, e in FEATURES.items())).orderBy("h", "doc_id").limit(sample_rows).toPandas()
+    # bounded by ``sample_rows``: three numbers for each
+    rows = stats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("h", "doc_id", "quality", *(F.expr(e).alias(f"f_{k}") for k, e in FEATURES.items())).orderBy("h", "doc_id").limit(sample_rows).toPandas()
     return {k: rows[f"f_{k}"].to_numpy(dtype=np.float64) for k in FEATURES}, rows["quality"].to_numpy() == 0
 
 

@@ -173,7 +173,10 @@ def near_duplicate_components(docs: DataFrame, max_bits: int = MAX_BITS) -> Data
 
 
 def one_of_each_component(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component: the one whose ``doc_id`` is the component's, the least.  Rows that repeat this id count once."""
-    keep = near_duplicate_components(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct()
+    """One row of each component: the one whose ``doc_id`` is the component's, the least.
+
+    Rows that repeat this id count once; rows without an id can't be told from others and all stay.
+    """
+    keep = common.materialize(near_duplicate_components(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct(), "keep")
     kept = docs.join(keep, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
