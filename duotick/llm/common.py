@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,11 +33,25 @@ def scratch_dir(spark: SparkSession) -> str:
 
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         folder = Path(folder).as_uri()
-    return folder
+    if ":/" not in folder:  # tasks open files by URI, and must mean the same file system as Spark does
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", folder)
+
+
+#: Scratch folders that this process has named; whoever knows that they are read no more may remove them.
+created: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/duotick/{name}-{uuid.uuid4().hex}"
+    created.append(f"{scratch_dir(spark).rstrip('/')}/duotick/{name}-{uuid.uuid4().hex}")
+    return created[-1]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +61,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
+#: Bytes of a batch between the JVM and Python; both sides hold a few for each task.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, unless the session has its own size, and this package on the executors."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, "67108864b") in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(size, str(BATCH_BYTES))
+    _ship_package(spark)
+
+
+def _ship_package(spark: SparkSession) -> None:
     """Send this package to the executors unless their PYTHONPATH has it already (it then needs no copy)."""
     root = Path(__file__).resolve().parents[2]
     on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -62,7 +89,7 @@ def ship_package(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; ``fn`` may return a batch or a table."""
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +111,3 @@ def text_pieces(batch: pa.RecordBatch, column: str = "text", rows: int = 256) ->
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
-
-
-def empty_like(df: DataFrame) -> bool:
-    return df.isEmpty()

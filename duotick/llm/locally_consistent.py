@@ -163,7 +163,7 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 #: Characters that are parsed together, unless one text has more.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 150_000
 
 
 def _parse_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def fingerprints_with_edits(docs: DataFrame, ranges: int | None = None) -> DataF
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = [i / ranges for i in range(1, ranges)]
-    found = source.agg(F.percentile_approx("doc_id", cuts, 100 * ranges).alias("q")).first()["q"] if cuts else []
+    found = source.agg(F.percentile_approx("doc_id", cuts, min(100 * ranges, 100_000)).alias("q")).first()["q"] if cuts else []
     bounds = sorted(set(found or []))
     number = _range_number(bounds)
     # one row for each range at most: the id of its first document
@@ -219,6 +219,6 @@ def fingerprints_with_edits(docs: DataFrame, ranges: int | None = None) -> DataF
     closing = source.withColumn("low", key).join(opens, "low").groupBy("low", "range").agg(F.min("text").alias("text"))
     closing = closing.select("range", F.lit(True).alias("closes"), F.lit(None).cast("long").alias("doc_id"), "text")
     body = source.select(number.alias("range"), F.lit(False).alias("closes"), "doc_id", "text")
-    common.ship_package(spark)
+    common.prepare(spark)
     dealt = body.unionByName(closing).repartitionById(len(bounds) + 1, F.col("range"))
     return dealt.sortWithinPartitions("range", "closes", "doc_id", "text").drop("range").mapInArrow(_parse_ranges, SCHEMA)

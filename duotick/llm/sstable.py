@@ -186,7 +186,7 @@ def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
     """The first ``doc_id`` of every shard but the first, from a quantile sketch over all ids: ``shards - 1`` numbers at most."""
     if shards < 2:
         return np.zeros(0, dtype=np.int64)
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)], 100 * shards).alias("q")).first()["q"]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)], min(100 * shards, 100_000)).alias("q")).first()["q"]
     return np.unique(np.array([c for c in cuts or [] if c is not None], dtype=np.int64))
 
 
@@ -268,6 +268,6 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shards:
     """Write all documents to shards and read every one back."""
     spark = docs.sparkSession
     folder = folder or common.scratch_path(spark, "sst")
-    common.ship_package(spark)
+    common.prepare(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return read_shards(spark, folder, write_shards(docs, folder, tokenizer_path, end_id, shards))
