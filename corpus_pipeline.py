@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,30 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality),
-    ("line_dedup", lines),
-    ("simhash_near_dedup", near_duplicates),
-    ("pii", personal_data),
-    ("packing", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_read_no_more: list[str] = []
+
+
+def _alone(stage: Stage) -> Stage:
+    """A stage's result is written before the next stage is called, which then removes the tables that it was computed from."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.remove(spark, _read_no_more)
+        mark = len(common.created)
+        out = stage(spark, docs, sf_dir)
+        _read_no_more[:] = common.created[mark:]
+        return out
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", _alone(quality)),
+    ("line_dedup", _alone(lines)),
+    ("simhash_near_dedup", _alone(near_duplicates)),
+    ("pii", _alone(personal_data)),
+    ("packing", _alone(pack)),
 ]
 
 #: Learned rules, fingerprints and token ids have no SQL form; tests hold the stages against brute force.
@@ -51,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """The stages applied to documents; each result is written, and removed when the next one is."""
+    docs, before = common.documents(spark, sf_dir), []
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), name)
+        common.remove(spark, before)
+        before = common.created[-1:]
     return docs

@@ -158,7 +158,7 @@ _MERGED = "leaf long, line long, template long, n int, tail binary, wild binary"
 def line_templates(lines: DataFrame, similarity: float = SIMILARITY, part_lines: int = PART_LINES) -> DataFrame:
     """``lines(leaf, line, n, tail)``, lines distinct, to ``line`` and ``template``."""
     shuffles = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = lines.groupBy("leaf").count()
+    sizes = common.materialize(lines.groupBy("leaf").count(), "leaf-sizes")
     parts = F.ceil(F.col("count") / part_lines)
     sized = lines.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), parts).cast("int")).withColumn("parts", parts.cast("int"))
 
@@ -178,16 +178,17 @@ def line_templates(lines: DataFrame, similarity: float = SIMILARITY, part_lines:
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc``, ``version`` (hash of the text) and the sorted ``places`` of lines to drop, for documents that have any."""
-    common.ship_package(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     source = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("version"), "text").where("text IS NOT NULL")
     lines = common.materialize(common.map_batches(source, _lines_batch, _LINES), "lines")
-    shared = lines.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    near = common.materialize(lines.join(shared, "leaf", "left_semi"), "near")
+    # written first, so that Spark can split the join for a leaf of very many lines
+    shared = common.materialize(lines.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
+    near = common.materialize(lines.join(shared.hint("merge"), "leaf", "left_semi"), "near")
     distinct = near.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.first("tail").alias("tail"))
     templates = common.materialize(line_templates(distinct, similarity), "lines-of-templates")
-    found = near.join(templates, "line").select("template", "doc", "version", "place")
+    found = near.join(templates.hint("merge"), "line").select("template", "doc", "version", "place")
     recurring = found.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= min_docs)
-    drops = found.join(recurring.select("template", "first"), "template").where("doc <> first")
+    drops = found.join(common.materialize(recurring.select("template", "first"), "recurring").hint("merge"), "template").where("doc <> first")
     return drops.groupBy("doc", "version").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
@@ -199,7 +200,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity:
     """``docs`` with the texts rewritten; ``count_as`` names a column for the number of dropped lines."""
     drops = dropped_lines(docs, min_docs, similarity).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("places").alias("__places"))
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), _doc().alias("__doc"), F.xxhash64("text").alias("__version"))
-    joined = keyed.join(drops, ["__doc", "__version"], "left")
+    joined = keyed.join(drops.hint("merge"), ["__doc", "__version"], "left")
     lines = F.split(F.col("__row.text"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__places"))
     text = F.when(F.col("__places").isNull(), F.col("__row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))

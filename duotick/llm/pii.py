@@ -199,11 +199,13 @@ def render(kind: Column, raw: Column, surrogate: Column) -> Column:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entities(kind, canon)``, distinct, to the same with ``surrogate``: distinct in each kind, and no entity of the kind."""
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     open_ = entities
     taken = entities.select("kind", F.col("canon").alias("surrogate"))
     done = None
     for attempt in range(MAX_ROUNDS):
-        drawn = common.materialize(open_.withColumn("surrogate", draw(key, F.col("kind"), F.col("canon"), attempt)), "drawn")
+        # drawing is costly for its few bytes, so entities are dealt to all tasks first
+        drawn = common.materialize(open_.repartition(tasks, "kind", "canon").withColumn("surrogate", draw(key, F.col("kind"), F.col("canon"), attempt)), "drawn")
         clash = drawn.join(taken.withColumn("clash", F.lit(True)), ["kind", "surrogate"], "left")
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canon")) == 1
         settled = common.materialize(clash.withColumn("ok", F.col("clash").isNull() & first).select("kind", "canon", "surrogate", "ok"), "settled")
@@ -251,10 +253,11 @@ def replace_entities(docs: DataFrame, key: str, count_as: str | None = None) ->
         lambda acc, x: F.when(x["sub"] == 0, F.array_append(acc, x["new"])).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), x["new"])))),
     )
     names = F.array_distinct(F.transform(F.filter("all", lambda x: x["kind"].isin("surname", "given_m", "given_f")), lambda x: F.struct(x["raw"].alias("raw"), x["new"].alias("new"))))
-    per_text = rows.select("__h", "__c", listed.alias("__new"), names.alias("__names"))
+    # written first, so that Spark can split the join for a text of very many copies
+    per_text = common.materialize(rows.select("__h", "__c", listed.alias("__new"), names.alias("__names")), "per-text")
 
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), *_version())
-    joined = keyed.join(per_text, ["__h", "__c"], "left")
+    joined = keyed.join(per_text.hint("merge"), ["__h", "__c"], "left")
     text = F.col("__row.text")
     between = F.split(text, PATTERN, -1)
     whole = F.array_join(F.zip_with(between, F.col("__new"), lambda b, s: F.concat(F.coalesce(b, F.lit("")), F.coalesce(s, F.lit("")))), "")

@@ -178,5 +178,5 @@ def one_of_each_component(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     Rows that repeat this id count once; rows without an id can't be told from others and all stay.
     """
     keep = common.materialize(near_duplicate_components(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, "doc_id", "left_semi")
+    kept = docs.join(keep.hint("merge"), "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
