@@ -92,4 +92,5 @@ def document_token_counts(docs: DataFrame, tokenizer_path: str, end_id: int, blo
     places = write_token_files(docs, folder, tokenizer_path, end_id)
     width = int(encoding.encoder(tokenizer_path, special_as_text=True).dtype[-1])
     counts = scan_separators(token_files(spark, folder), folder, end_id, width, block_ids)
-    return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides have a row for each document, whatever the planner makes of the short list of files
+    return places.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
