@@ -1,19 +1,20 @@
 """Line dedup by a tree of line templates.
 
-A line's path in the tree has a fixed depth: its number of tokens, then its leading tokens, where a token that has a digit is a
-wildcard.  The path ends in a leaf.  In a leaf, lines that agree in ``SIMILARITY`` of their tokens, place by place, merge into one template
-whose differing places are wildcards too.  A template found in ``min_docs`` documents or more is recurring: its lines are dropped from
-every document but the first that has it.
+A line's path in the tree has a fixed depth: its number of tokens, then its first token, where a token that has a digit is a wildcard.
+The path ends in a leaf.  In a leaf, lines are taken in the order of their hashes: a line that agrees with a template's first line in
+``SIMILARITY`` of all tokens, place by place, joins the template (the first such), and else founds one.  A template found in ``min_docs``
+documents or more is recurring: its lines are dropped from every document but the first that has it.
 
-The leading tokens are half of the line's and three at least, so leaves stay small whatever the corpus.  Leaves of too few documents
-fall away first; of the rest, each distinct line is one row, so a passage that a third of the documents share is one row as
-well.  A leaf of many distinct lines is merged in parts, dealt by a hash of the line, and then the parts' templates are.
+Leaves of too few documents fall away first, as no template of theirs can recur; of the rest, each distinct line is one row, so a passage
+that a third of the documents share is one row as well.  A leaf of at most ``PART_LINES`` distinct lines is merged in one task.  A larger
+one is dealt by bands: of lines that may differ in m places, each is cut into m + 1 bands, so two that agree share a band, and only lines that
+share one are compared.  Founders are then found by rounds (no earlier line that is open agrees), with the same templates as in one task.
 
 A line is told by 64 bits of a hash, a token behind the path by 16.  Texts move once, to meet the places of their dropped lines.
 
-Defined results.  Lines of fewer than three tokens have no path and stay.  Null text stays null.  A text of which all lines are dropped is
-empty.  Empty table: no rows.  Copies: their lines stay in the first alone, "first" by ``doc_id``, null last; rows that share an id
-count as one document, and each is rewritten by its own text.  All columns are kept.
+Defined results.  Lines of fewer than three tokens have no path and stay.  Lines that differ in the first token are not merged, nor are lines of different numbers of tokens.  Null text stays null.  A
+text of which all lines are dropped is empty.  Empty table: no rows.  Copies: their lines stay in the first alone, "first" by ``doc_id``,
+null last; rows that share an id count as one document, and each is rewritten by its own text.  All columns are kept.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 MIN_DOCS = 3
-SIMILARITY = 0.8
 LEAST_TOKENS = 3
+SIMILARITY = 0.8
 WILDCARD = b"<*>"
-#: Distinct lines of a leaf that are merged in one part.
+#: Distinct lines that one task compares with one another.
 PART_LINES = 2000
+#: Bytes of banded rows that are handed on at once.
+BAND_BYTES = 4 << 20
 
 _DIGIT = re.compile(rb"\d")
 
@@ -48,8 +51,9 @@ def tokens_of(line: bytes) -> list[bytes]:
     return words
 
 
-def depth_of(n_tokens: int) -> int:
-    return max(LEAST_TOKENS, n_tokens // 2)
+def may_differ(n_tokens: int, similarity: float = SIMILARITY) -> int:
+    """The places in which a line may differ from its template's first."""
+    return n_tokens - math.ceil(similarity * n_tokens - 1e-9)
 
 
 def _hash(data: bytes) -> int:
@@ -58,14 +62,12 @@ def _hash(data: bytes) -> int:
 
 
 def line_rows(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(place, tokens, leaf, line, tail) of every line that has a path; the tail is 16 bits for each token behind it."""
+    """(place, tokens, leaf, line, tail) of every line that has a path; the tail is 16 bits for each token but the first."""
     for place, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         tokens = tokens_of(line)
         n = len(tokens)
         if n >= LEAST_TOKENS:
-            depth = depth_of(n)
-            head, rest = b" ".join(tokens[:depth]), tokens[depth:]
-            yield place, n, _hash(b"%d %b" % (n, head)), _hash(b" ".join([head, *rest])), array("H", [zlib.crc32(t) & 0xFFFF for t in rest]).tobytes()
+            yield place, n, _hash(b"%d %b" % (n, tokens[0])), _hash(b" ".join(tokens)), array("H", [zlib.crc32(t) & 0xFFFF for t in tokens[1:]]).tobytes()
 
 
 _LINES = "doc long, version long, place int, n int, leaf long, line long, tail binary"
@@ -86,94 +88,145 @@ def _lines_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["doc", "version", "place", "n", "leaf", "line", "tail"])
 
 
-def merge_leaf(n: int, tails: np.ndarray, wild: np.ndarray, similarity: float = SIMILARITY) -> tuple[list[int], np.ndarray]:
-    """For each row of token codes the row that founded its template, and the wildcards of the founders' templates.
-
-    A row joins the template with which it agrees in the most places, wildcards not counted, if they are enough.
-    """
-    need = math.ceil(similarity * n - 1e-9) - depth_of(n)
-    founders: list[int] = [0]
-    wild = wild.copy()
-    of = [0]
-    for i in range(1, len(tails)):
-        known = tails[founders]
-        agree = ((known == tails[i]) & ~wild[founders] & ~wild[i]).sum(axis=1)
-        best = int(agree.argmax())
-        if agree[best] >= need:
-            f = founders[best]
-            wild[f] |= wild[i] | (tails[f] != tails[i])
-            of.append(f)
+def merge_leaf(n: int, tails: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """For each row of token codes the row that founded its template: the first founder with which it agrees, or itself."""
+    most = may_differ(n, similarity)
+    if not most:
+        return list(range(len(tails)))
+    known, founders, of = np.empty_like(tails), [], []
+    for i, tail in enumerate(tails):
+        near = (known[: len(founders)] != tail).sum(axis=1) <= most
+        at = int(near.argmax()) if founders else 0
+        if founders and near[at]:
+            of.append(founders[at])
         else:
+            known[len(founders)] = tail
             founders.append(i)
             of.append(i)
-    return of, wild
+    return of
 
 
-def _merge_groups(similarity: float):
-    """Rows come sorted by leaf, part, line; only one part's are held."""
-    schema = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("template", pa.int64()), ("n", pa.int32()), ("tail", pa.binary()), ("wild", pa.binary())])
+def _codes(tails: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(tails), dtype="<u2").reshape(len(tails), -1)
+
+
+def _by_group(columns: tuple[str, ...], of_group, names: tuple[str, ...]):
+    """Rows come sorted by the first column; ``of_group`` turns one group's rows into rows of longs.  Only one group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
-        def close(group: list[tuple]) -> None:
-            leaf, _, line, n, tail, wild = group[0]
-            if len(group) == 1:
-                out.append((leaf, line, line, n, tail, wild))
-                return
-            tails = np.frombuffer(b"".join(g[4] for g in group), dtype="<u2").reshape(len(group), -1)
-            wilds = np.frombuffer(b"".join(g[5] or bytes(tails.shape[1]) for g in group), dtype=np.uint8).reshape(tails.shape).astype(bool)
-            if not tails.shape[1]:
-                of, merged = list(range(len(group))), wilds
-            else:
-                of, merged = merge_leaf(n, tails, wilds, similarity)
-            for i, f in enumerate(of):
-                mine = f == i
-                out.append((leaf, group[i][2], group[f][2], n, group[i][4] if mine else None, merged[i].astype(np.uint8).tobytes() if mine else None))
-
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            found = list(zip(*out, strict=True)) if out else [()] * len(names)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=list(names))
 
         group: list[tuple] = []
         for batch in batches:
-            for r in zip(*(common.column(batch, c).to_pylist() for c in ("leaf", "part", "line", "n", "tail", "wild")), strict=True):
-                if group and r[:2] != group[0][:2]:
-                    close(group)
+            for r in zip(*(common.column(batch, c).to_pylist() for c in columns), strict=True):
+                if group and r[0] != group[0][0]:
+                    out += of_group(group)
                     group = []
                     if len(out) >= 8192:
                         yield flush()
                 group.append(r)
         if group:
-            close(group)
+            out += of_group(group)
         yield flush()
 
     return run
 
 
-_MERGED = "leaf long, line long, template long, n int, tail binary, wild binary"
+def _merge_groups(similarity: float):
+    def of_group(group: list[tuple]) -> list[tuple]:
+        if len(group) == 1:
+            return [(group[0][1], group[0][1])]
+        return [(g[1], group[f][1]) for g, f in zip(group, merge_leaf(group[0][2], _codes([g[3] for g in group]), similarity), strict=True)]
 
+    return _by_group(("leaf", "line", "n", "tail"), of_group, ("line", "template"))
 
-def line_templates(lines: DataFrame, similarity: float = SIMILARITY, part_lines: int = PART_LINES) -> DataFrame:
-    """``lines(leaf, line, n, tail)``, lines distinct, to ``line`` and ``template``."""
+
+def _agreeing(similarity: float, founders_only: bool):
+    """For each line the first line of its group that agrees with it: of those before it, or, for lines that aren't founders, of the founders."""
+
+    def of_group(group: list[tuple]) -> list[tuple]:
+        most, tails, out = may_differ(group[0][2], similarity), _codes([g[3] for g in group]), []
+        chosen = [i for i, g in enumerate(group) if g[4]]
+        among = tails[chosen]
+        for i, g in enumerate(group):
+            if founders_only and g[4]:
+                continue
+            near = ((among if founders_only else tails[:i]) != tails[i]).sum(axis=1) <= most
+            if near.any():
+                at = int(near.argmax())
+                out.append((g[1], group[chosen[at] if founders_only else at][1]))
+        return out
+
+    return _by_group(("grp", "line", "n", "tail", "founder"), of_group, ("line", "other"))
+
+
+def _banded(similarity: float):
+    """A row for each band of each line."""
+    names = ["grp", "line", "n", "tail"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for batch in batches:
+            for leaf, line, n, tail in zip(*(common.column(batch, c).to_pylist() for c in ("leaf", "line", "n", "tail")), strict=True):
+                bands, places = may_differ(n, similarity) + 1, n - 1
+                for b in range(bands):
+                    band = tail[2 * (b * places // bands) : 2 * ((b + 1) * places // bands)]
+                    out.append((_hash(b"%d %d %b" % (leaf, b, band)), line, n, tail))
+                    held += len(tail) + 20
+                    if held > BAND_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return run
+
+
+def _large_leaves(lines: DataFrame, similarity: float, part_lines: int) -> DataFrame:
+    """``line`` and ``template`` of lines that are too many for a task."""
     shuffles = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = common.materialize(lines.groupBy("leaf").count(), "leaf-sizes")
-    parts = F.ceil(F.col("count") / part_lines)
-    sized = lines.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), parts).cast("int")).withColumn("parts", parts.cast("int"))
+    keyed = common.materialize(lines.mapInArrow(_banded(similarity), "grp long, line long, n int, tail binary"), "bands")
+    sizes = common.materialize(keyed.groupBy("grp").count().where("count > 1").select("grp", F.ceil(F.col("count") * 2 / part_lines).cast("int").alias("blocks"), "count"), "band-sizes")
+    # a group of too many lines is cut into blocks, and every pair of blocks is a group; a row goes to each pair that its block is in
+    own = F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("grp", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
+    marked = keyed.join(sizes.hint("merge"), "grp").withColumn("own", own)
+    grouped = common.materialize(marked.select(F.explode(F.when(F.col("count") <= part_lines, F.array("grp")).otherwise(pairs)).alias("grp"), "line", "n", "tail"), "grouped")
+
+    def agreeing(rows: DataFrame, founders_only: bool) -> DataFrame:
+        dealt = rows.select("grp", "line", "n", "tail", "founder").repartition(shuffles, "grp").sortWithinPartitions("grp", "line")
+        return dealt.mapInArrow(_agreeing(similarity, founders_only), "line long, other long")
+
+    founders, open_ = None, common.materialize(lines.select("line"), "open")
+    while not open_.isEmpty():
+        rows = grouped.join(open_.hint("merge"), "line", "left_semi")
+        blocked = common.materialize(agreeing(rows.withColumn("founder", F.lit(False)), False).select("line").distinct(), "blocked")
+        new = common.materialize(open_.join(blocked.hint("merge"), "line", "left_anti"), "founders")
+        founders = new if founders is None else founders.unionByName(new)
+        told = rows.join(new.withColumn("founder", F.lit(True)).hint("merge"), "line", "left").withColumn("founder", F.col("founder").isNotNull())
+        open_ = common.materialize(blocked.join(agreeing(told, True).select("line").distinct().hint("merge"), "line", "left_anti"), "open")
+    if founders is None:
+        return lines.select("line", F.col("line").alias("template"))
+    told = grouped.join(founders.withColumn("founder", F.lit(True)).hint("merge"), "line", "left").withColumn("founder", F.col("founder").isNotNull())
+    joined = agreeing(told, True).groupBy("line").agg(F.min("other").alias("template"))
+    return founders.select("line", F.col("line").alias("template")).unionByName(joined)
 
-    def merged(rows: DataFrame) -> DataFrame:
-        dealt = rows.select("leaf", "part", "line", "n", "tail", "wild").repartition(shuffles, "leaf", "part")
-        return dealt.sortWithinPartitions("leaf", "part", "line").mapInArrow(_merge_groups(similarity), _MERGED)
 
-    first = common.materialize(merged(sized.withColumn("wild", F.lit(None).cast("binary"))), "templates")
-    split = common.materialize(sizes.where(F.col("count") > part_lines).select("leaf"), "split")
-    if split.isEmpty():
-        return first.select("line", "template")
-    # the parts' templates, each by the line that founded it
-    founders = first.where("line = template").join(split, "leaf", "left_semi").withColumn("part", F.lit(0))
-    second = merged(founders).select(F.col("line").alias("template"), F.col("template").alias("final"))
-    return first.select("line", "template").join(second, "template", "left").select("line", F.coalesce("final", "template").alias("template"))
+def line_templates(lines: DataFrame, similarity: float = SIMILARITY, part_lines: int = PART_LINES) -> DataFrame:
+    """``lines(leaf, line, n, tail)``, lines distinct, to ``line`` and ``template``."""
+    shuffles = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = common.materialize(lines.groupBy("leaf").count().where(F.col("count") > part_lines).select("leaf"), "large-leaves")
+    some = not large.isEmpty()
+    small = lines.join(large, "leaf", "left_anti") if some else lines
+    dealt = small.select("leaf", "line", "n", "tail").repartition(shuffles, "leaf").sortWithinPartitions("leaf", "line")
+    merged = dealt.mapInArrow(_merge_groups(similarity), "line long, template long")
+    return merged.unionByName(_large_leaves(lines.join(large, "leaf", "left_semi"), similarity, part_lines)) if some else merged
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
@@ -183,8 +236,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float =
     lines = common.materialize(common.map_batches(source, _lines_batch, _LINES), "lines")
     # written first, so that Spark can split the join for a leaf of very many lines
     shared = common.materialize(lines.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    near = common.materialize(lines.join(shared.hint("merge"), "leaf", "left_semi"), "near")
-    distinct = near.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.first("tail").alias("tail"))
+    near = common.materialize(lines.select("leaf", "line", "doc", "version", "place").join(shared.hint("merge"), "leaf", "left_semi").drop("leaf"), "near")
+    each = lines.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.first("tail").alias("tail"))
+    distinct = common.materialize(each.join(shared.hint("merge"), "leaf", "left_semi"), "distinct")
     templates = common.materialize(line_templates(distinct, similarity), "lines-of-templates")
     found = near.join(templates.hint("merge"), "line").select("template", "doc", "version", "place")
     recurring = found.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= min_docs)

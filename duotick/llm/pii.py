@@ -37,8 +37,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?![\"'\s])[\p{Alnum}_+/=-]{12,256}"
-    r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?![\"'\s])[\p{Alnum}_+/=-]{12,}+(?:\.[\p{Alnum}_+/=-]++)*+"
+    r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\p{{N}})",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?!\p{N})|(?<![\p{L}\p{N}])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\p{N})",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
