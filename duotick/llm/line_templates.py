@@ -12,7 +12,8 @@ share one are compared.  Founders are then found by rounds (no earlier line that
 
 A line is told by 64 bits of a hash, a token behind the path by 16.  Texts move once, to meet the places of their dropped lines.
 
-Defined results.  Lines of fewer than three tokens have no path and stay.  Lines that differ in the first token are not merged, nor are lines of different numbers of tokens.  Null text stays null.  A
+Defined results.  Lines without a token have no path and stay.  A line of one or two tokens that all have digits is told by the tokens as
+they are.  Lines that differ in the first token are not merged, nor are lines of different numbers of tokens.  Null text stays null.  A
 text of which all lines are dropped is empty.  Empty table: no rows.  Copies: their lines stay in the first alone, "first" by ``doc_id``,
 null last; rows that share an id count as one document, and each is rewritten by its own text.  All columns are kept.
 """
@@ -32,8 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-MIN_DOCS = 3
-LEAST_TOKENS = 3
+MIN_DOCS = 2
 SIMILARITY = 0.8
 WILDCARD = b"<*>"
 #: Distinct lines that one task compares with one another.
@@ -47,7 +47,8 @@ _DIGIT = re.compile(rb"\d")
 def tokens_of(line: bytes) -> list[bytes]:
     words = line.split()
     if _DIGIT.search(line):
-        return [WILDCARD if _DIGIT.search(w) else w for w in words]
+        tokens = [WILDCARD if _DIGIT.search(w) else w for w in words]
+        return words if len(words) < 3 and all(t is WILDCARD for t in tokens) else tokens
     return words
 
 
@@ -62,11 +63,11 @@ def _hash(data: bytes) -> int:
 
 
 def line_rows(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(place, tokens, leaf, line, tail) of every line that has a path; the tail is 16 bits for each token but the first."""
+    """(place, tokens, leaf, line, tail) of every line that has a token; the tail is 16 bits for each token but the first."""
     for place, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         tokens = tokens_of(line)
         n = len(tokens)
-        if n >= LEAST_TOKENS:
+        if n:
             yield place, n, _hash(b"%d %b" % (n, tokens[0])), _hash(b" ".join(tokens)), array("H", [zlib.crc32(t) & 0xFFFF for t in tokens[1:]]).tobytes()
 
 

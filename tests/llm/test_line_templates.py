@@ -65,3 +65,16 @@ def test_edit_early_in_a_long_line(spark):
     given = {k: " ".join([*line[:9], c, *line[10:]]) for k, c in enumerate(("red", "green", "blue"))}
     got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect()}
     assert got == {0: given[0], 1: "", 2: ""}
+
+
+def test_two_documents_and_short_lines(spark):
+    passage = " ".join(f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh")
+    given = {0: f"{passage}\nRead more\n12\nPage 3", 1: f"own line here\n{passage}\nMenu", 2: "Read more\nMenu\n13\nPage 4", 3: "12\n\nRead less\nMenu"}
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect()}
+    assert got == {0: given[0], 1: "own line here\nMenu", 2: "13", 3: "\nRead less"} == slow_drops(given, 2)
+
+
+def test_whole_documents_from_two_on(spark):
+    given = texts()
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(list(given.items()), "doc_id long, text string")).collect()}
+    assert got == slow_drops(given, 2) != slow_drops(given, 3)
