@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duotick.llm import common, line_templates, packing, pii, quality_rules, simhash_golay
+from duotick.llm import common, line_templates, packing, pii, quality_rules, shingle_jaccard
 
 #: A key for the test tables; a real one is a secret.
 PII_KEY = "duotick test key"
@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the least id."""
-    return simhash_golay.one_of_each_component(docs)
+    """Of documents that share five-word shingles at a Jaccard similarity of 0.8 or more, and of chains of such, the one with the least id stays."""
+    return shingle_jaccard.one_of_each_component(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
