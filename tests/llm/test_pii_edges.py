@@ -1,0 +1,30 @@
+"""Secrets of any length."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from duotick.llm import pii
+
+
+def replaced(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["text"], r["n"]) for r in pii.replace_entities(docs, "k", count_as="n").orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("length", [12, 257, 400, 5000])
+def test_secrets_go_whole(spark, length):
+    rng = random.Random(length)
+    run = lambda letters, n: "".join(rng.choices(letters, k=n))
+    token = run("ghijklmnopqrstuvwxyz0123456789", length)
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{run('ghijklmnopq', length)}.{run('rstuvwxyz', 43)}"
+    hexadecimal = run("0123456789abcdef", max(length, 32))
+    texts = [f"the token={token} ends", f"secret: {jwt}. Next", f"a {hexadecimal} run", f"a {hexadecimal.upper()} run"]
+    for (got, n), text, secret in zip(replaced(spark, texts), texts, (token, jwt, hexadecimal, hexadecimal.upper()), strict=True):
+        before, after = text.split(secret)
+        assert n == 1 and len(got) == len(text) and got.startswith(before) and got.endswith(after)
+        new = got[len(before) : len(got) - len(after)]
+        # no stretch of the secret is left in its place
+        assert not any(new[k : k + 12] == secret[k : k + 12] for k in range(len(secret) - 11)) and [len(x) for x in new.split(".")] == [len(x) for x in secret.split(".")]
