@@ -49,7 +49,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Holds for every text that has an entity; it is quick to tell for the rest.
-HINT = rf"[0-9@]|(?i:token|secret|passw|key)|(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?i:token|secret|passw|key)|AKIA|ghp_|[a-f]{{32}}|[A-F]{{32}}|(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}"
 
 # Letters of each script, and the parts of invented names.
 ALPHABETS = {
