@@ -11,7 +11,8 @@ spellings are one entity in the whole corpus and get one surrogate (coreference)
   a document are replaced there too.
 
 No surrogate may equal another entity's surrogate or any entity of its kind in the corpus: colliding ones are drawn anew, by rounds, until none
-is left.  A kind with more entities than forms gets longer surrogates from round ``LENGTHEN`` on, so this ends.
+is left.  A kind with more entities than forms gets longer surrogates from round ``LENGTHEN`` on, and addresses of 192.168 get ones of the
+range 10 then, so this ends; only private addresses in numbers near half of 2^24, and public ones near half of all, have no answer.
 
 The key decides all surrogates: keep it secret and use it again for stable results.
 
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
-#: From this round on surrogates that collide are lengthened.
+#: From this round on surrogates that collide are lengthened, or drawn from a wider range.
 LENGTHEN = 8
 MAX_ROUNDS = 40
 
@@ -137,12 +138,13 @@ def _card(canon: Column, digest: Column) -> Column:
     return F.concat(body, F.when(valid, check).otherwise(wrong).cast("string"))
 
 
-def _ip(canon: Column, digest: Column) -> Column:
+def _ip(canon: Column, digest: Column, wide: bool = False) -> Column:
+    """``wide``: an address of 192.168 gets one of 10, a range 256 times as large."""
     b = [_byte(digest, F.lit(i)) for i in range(4)]
     tail = F.concat_ws(".", b[2].cast("string"), b[3].cast("string"))
     public = F.pmod(b[0], F.lit(199)) + 11  # 11 to 209; private 172 and 192 and loopback are stepped over
     public = F.when(public.isin(127, 172, 192), public + 1).otherwise(public)
-    return F.when(canon.startswith("10."), F.concat(F.lit("10."), b[1].cast("string"), F.lit("."), tail)).when(canon.startswith("192.168."), F.concat(F.lit("192.168."), tail)).otherwise(F.concat(public.cast("string"), F.lit("."), b[1].cast("string"), F.lit("."), tail))
+    return F.when(canon.startswith("10.") | (canon.startswith("192.168.") & F.lit(wide)), F.concat(F.lit("10."), b[1].cast("string"), F.lit("."), tail)).when(canon.startswith("192.168."), F.concat(F.lit("192.168."), tail)).otherwise(F.concat(public.cast("string"), F.lit("."), b[1].cast("string"), F.lit("."), tail))
 
 
 def _name(kind: Column, canon: Column, digest: Column) -> Column:

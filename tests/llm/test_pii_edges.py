@@ -41,3 +41,11 @@ def test_hint_holds_for_every_entity(spark):
     assert all(r["has"] and r["hinted"] for r in rows)
     got = replaced(spark, words[:4])
     assert all(n == 1 and not re.search("ABCDEFGHIJKLMNOP|STUVWXYZ|abcdefabcdef|ABCDEFABCDEF", text) for text, n in got)
+
+
+def test_private_addresses_get_a_wider_range(spark):
+    entities = spark.createDataFrame([("192.168.0.4",), ("10.1.2.3",), ("8.8.8.8",)], "canon string")
+    drawn = lambda attempt: {r["canon"]: r["s"] for r in entities.select("canon", pii.draw("k", F.lit("ip"), F.col("canon"), attempt).alias("s")).collect()}
+    early, late = drawn(pii.LENGTHEN - 1), drawn(pii.LENGTHEN)
+    assert early["192.168.0.4"].startswith("192.168.") and late["192.168.0.4"].startswith("10.") and late["10.1.2.3"].startswith("10.")
+    assert not late["8.8.8.8"].startswith(("10.", "192.168.")) and all(re.fullmatch(r"\d+(?:\.\d+){3}", s) for s in late.values())
