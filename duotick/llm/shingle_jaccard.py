@@ -68,48 +68,55 @@ def _classes(shingle_words: int, percent: int, whole: bool):
     return run
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(src, dst)`` that are similar enough; each set moves once for a pair."""
-    one = sets.select(F.col("cls").alias("src"), F.col("hashes").alias("a"))
-    two = sets.select(F.col("cls").alias("dst"), F.col("hashes").alias("b"))
-    both = pairs.join(one.hint("merge"), "src").join(two.hint("merge"), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("src", "dst")
-
-
 def _enough(percent: int, a: Column, b: Column, shared: Column) -> Column:
     """Whether sets of ``a`` and ``b`` shingles that share at most so many can be similar enough."""
     return (100 + percent) * shared >= percent * (a + b)
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``classes(cls, doc_id, n, hashes)``, cls distinct, to links between them that span every component."""
-    each = classes.select("cls", "n", F.posexplode("hashes").alias("pos", "key"))
-    keyed = common.materialize(each, "keys")
-    several = common.materialize(keyed.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key"), "shared-keys")
-    keyed = common.materialize(keyed.join(several.hint("merge"), "key", "left_semi"), "keyed")
-    wanted = classes.join(keyed.select("cls").distinct().hint("merge"), "cls", "left_semi").select("cls", "doc_id")
+def _similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs ``(src, dst)`` that are similar enough.  Keys alone rule out most others, so few texts are cut into shingles again."""
+    one = classes.select(F.col("cls").alias("src"), F.col("n"), F.col("hashes").alias("a"))
+    two = classes.select(F.col("cls").alias("dst"), F.col("n").alias("m"), F.col("hashes").alias("b"))
+    both = pairs.join(one.hint("merge"), "src").join(two.hint("merge"), "dst").withColumn("upto", F.least(F.element_at("a", -1), F.element_at("b", -1)))
+    # up to the lesser of the last keys both sets are known; behind it they share what the smaller rest has at most
+    behind = lambda n, keys: F.col(n) - F.size(F.filter(keys, lambda x: x <= F.col("upto")))
+    most = F.size(F.array_intersect("a", "b")) + F.least(behind("n", "a"), behind("m", "b"))
+    maybe = common.materialize(both.where(_enough(percent, F.col("n"), F.col("m"), most)).select("src", "dst"), "maybe")
+
+    wanted = common.materialize(maybe.select(F.explode(F.array("src", "dst")).alias("cls")).distinct().join(classes.select("cls", "doc_id").hint("merge"), "cls"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     sets = common.map_batches(texts, _classes(shingle_words, percent, True), "doc_id long, cls long, n int, hashes array<long>")
     sets = common.materialize(sets.join(wanted.hint("merge"), ["cls", "doc_id"], "left_semi").dropDuplicates(["cls"]).select("cls", "hashes"), "sets")
+    one, two = sets.select(F.col("cls").alias("src"), F.col("hashes").alias("a")), sets.select(F.col("cls").alias("dst"), F.col("hashes").alias("b"))
+    both = maybe.join(one.hint("merge"), "src").join(two.hint("merge"), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    return common.materialize(both.where(_enough(percent, F.size("a"), F.size("b"), shared)).select("src", "dst"), "links")
+
 
-    links = None
+def similar_links(docs: DataFrame, classes: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``classes(cls, doc_id, n, hashes)``, cls distinct, to links between them that span every component."""
+    each = classes.select("cls", "n", F.posexplode("hashes").alias("pos", "key"))
+    several = common.materialize(each.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1").select("key"), "shared-keys")
+    keyed = common.materialize(each.join(several.hint("merge"), "key", "left_semi"), "keyed")
+    pairs = None
     for star in range(STARS):
-        centers = keyed.groupBy("key").agg(F.min_by("cls", F.xxhash64("cls", F.lit(star))).alias("dst"))
-        pairs = keyed.join(centers.hint("merge"), "key").where("cls <> dst").select(F.least("cls", "dst").alias("src"), F.greatest("cls", "dst").alias("dst")).distinct()
-        found = common.materialize(_similar(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
+        centers = keyed.groupBy("key").agg(F.min_by(F.struct("cls", "n", "pos"), F.xxhash64("cls", F.lit(star))).alias("c"))
+        # a pair is met by its first common key, so what is shared lies at or behind it in both
+        rest = F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos"))
+        near = keyed.join(centers.hint("merge"), "key").where((F.col("cls") != F.col("c.cls")) & _enough(percent, F.col("n"), F.col("c.n"), rest))
+        found = near.select(F.least("cls", "c.cls").alias("src"), F.greatest("cls", "c.cls").alias("dst"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    links = _similar(common.materialize(pairs.distinct(), "pairs"), docs, classes, shingle_words, percent)
     parts = common.materialize(connected_components(links), "parts")
     told = keyed.join(parts.hint("merge"), F.col("cls") == F.col("node"), "left").withColumn("part", F.coalesce("component", "cls")).select("key", "cls", "n", "pos", "part")
     told = common.materialize(told, "told")
     mixed = told.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     left = common.materialize(told.join(mixed.hint("merge"), "key", "left_semi"), "mixed")
     other = left.select("key", F.col("cls").alias("dst"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("part").alias("apart"))
-    # a pair is met by its first common key, so what is shared lies at or behind it in both
     rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
     joined = left.join(other.hint("merge"), "key").where((F.col("part") < F.col("apart")) & _enough(percent, F.col("n"), F.col("m"), rest))
-    pairs = joined.select(F.least("cls", "dst").alias("src"), F.greatest("cls", "dst").alias("dst")).distinct()
-    return links.unionByName(common.materialize(_similar(pairs, sets, percent), "links"))
+    pairs = common.materialize(joined.select(F.least("cls", "dst").alias("src"), F.greatest("cls", "dst").alias("dst")).distinct(), "pairs")
+    return links.unionByName(_similar(pairs, docs, classes, shingle_words, percent))
 
 
 def near_duplicate_classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
