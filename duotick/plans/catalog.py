@@ -144,6 +144,13 @@ def active_effects(spark, d):
     return timers.active_effects(clock, _runs(spark, d).select("user_id", "run", "start", "stop"), "frame")
 
 
+@query(f"WITH {_RUNS} SELECT e.event_id AS frame, r.user_id, r.run, r.start, r.stop FROM runs r JOIN events e ON e.event_id >= r.start AND e.event_id < r.stop")
+def active_effects_every_event(spark, d):
+    """``active_effects`` on the whole clock; that query and its SQL ask every 1,000th event only."""
+    clock = _events(spark, d, "event_id").select(F.col("event_id").alias("frame"))
+    return timers.active_effects(clock, _runs(spark, d).select("user_id", "run", "start", "stop"), "frame")
+
+
 @query("""WITH r AS (SELECT user_id, event_id AS request, event_id % 50 + 1 AS length FROM events WHERE event_type = 'signup'),
 s AS (SELECT *, CAST(sum(length) OVER (PARTITION BY user_id ORDER BY request ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM r),
 e AS (SELECT *, total + max(request - total + length) OVER (PARTITION BY user_id ORDER BY request ROWS UNBOUNDED PRECEDING) AS end_frame FROM s)
