@@ -65,7 +65,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", _alone(pack)),
 ]
 
-#: Learned rules, fingerprints and token ids have no SQL form; tests hold the stages against brute force.
+#: Learned rules, fingerprints and token ids have no SQL form; tests hold the line, near-copy and personal-data stages against plain Python.
 ORACLE_SQL = None
 
 
