@@ -172,7 +172,7 @@ def draw(key: str, kind: Column, canon: Column, attempt: int) -> Column:
     kept = F.when(kind == "iban", F.substr(canon, F.lit(1), F.lit(2))).otherwise(F.regexp_extract(canon, r"^\+?\d", 0))
     numbers = F.concat(kept, _letters(F.substr(canon, F.length(kept) + 1), digest, no))
     found = (
-        F.when(kind == "email", email).when(kind == "card", _card(canon, digest)).when(kind == "ip", _ip(canon, digest))
+        F.when(kind == "email", email).when(kind == "card", _card(canon, digest)).when(kind == "ip", _ip(canon, digest, attempt >= LENGTHEN))
         .when(kind.isin("iban", "phone", "ssn"), numbers).when(kind == "secret", secret).otherwise(_name(kind, canon, digest))
     )
     if attempt < LENGTHEN:
