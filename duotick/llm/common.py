@@ -9,10 +9,12 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run in this process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("duotick.scratch.dir", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="duotick-")
@@ -39,13 +43,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return re.sub("^file:/+", "file:///", folder)
 
 
-#: Scratch folders that this process has named; whoever knows that they are read no more may remove them.
-created: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scratch paths of the innermost scope", default=None)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Gathers the scratch paths that are named inside, for a caller that knows when they are read no more."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    created.append(f"{scratch_dir(spark).rstrip('/')}/duotick/{name}-{uuid.uuid4().hex}")
-    return created[-1]
+    """A new folder.  A lazy result may read it at any time, so it goes at the end of the application, unless a scope's owner removes it sooner."""
+    uri = f"{scratch_dir(spark).rstrip('/')}/duotick/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(uri)
+    return uri
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -61,6 +80,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of tables that are written go when the driver collects its garbage, which it may not do for long by itself."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def in_blocks(keyed: DataFrame, unit: str, block: int, columns: list[str]) -> DataFrame:
+    """``keyed(key, ...)`` to ``grp`` and ``columns``: rows that share a key share a group of about ``block`` rows.
+
+    A larger key is cut into blocks by ``unit``; there is a group for each pair of blocks, and a row goes to every pair that its block is in.
+    """
+    large = materialize(keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / max(1, block // 2)).cast("int").alias("blocks")), "large-keys")
+    if large.isEmpty():
+        return keyed.select(F.col("key").alias("grp"), *columns)
+    own = F.pmod(F.xxhash64(unit), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
+    marked = keyed.join(large.hint("merge"), "key", "left").withColumn("own", own)
+    return marked.select(F.explode(F.when(F.col("blocks").isNull(), F.array(F.xxhash64("key", F.lit(-1), F.lit(-1)))).otherwise(pairs)).alias("grp"), *columns)
+
+
 #: Bytes of a batch between the JVM and Python; both sides hold a few for each task.
 BATCH_BYTES = 8 << 20
 

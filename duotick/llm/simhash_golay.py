@@ -33,19 +33,29 @@ MAX_BITS = 3
 BLOCK = 4096
 
 
-def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64 bits: a bit is set if over half of the shingles' hashes have it."""
+def shingle_hashes(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; unsigned."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     flat = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle_words:
-        return digest(flat, SEED)
+        return np.array([digest(flat, SEED)], dtype=np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[: -shingle_words]]).tolist()
+    starts = np.concatenate([[0], ends[:-shingle_words]]).tolist()
     stops = (ends[shingle_words - 1 :] - 1).tolist()
-    hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+    return np.array([digest(flat[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
+    """Unsigned 64 bits: a bit is set if over half of the shingles' hashes have it."""
+    return fingerprint_of(shingle_hashes(text, shingle_words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is set if over half of the unsigned hashes have it."""
+    hashes = hashes.astype("<u8")
     set_in = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -149,15 +159,7 @@ def _links_of_groups(max_bits: int):
 def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """``prints(fp, rep)``, fp distinct, to links ``(src, dst)`` between reps that span every component within ``max_bits``."""
     keyed = common.map_batches(prints.select("fp", "rep"), _keys_batch, "key long, fp long, rep long")
-    large = common.materialize(keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("blocks")), "large")
-    if large.isEmpty():
-        grouped = keyed.withColumnRenamed("key", "grp")
-    else:
-        # a group for each pair of blocks; a row goes to every pair that its block is in
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
-        marked = keyed.join(large, "key", "left").withColumn("own", own)
-        grouped = marked.select(F.explode(F.when(F.col("blocks").isNull(), F.array(F.xxhash64("key", F.lit(-1), F.lit(-1)))).otherwise(pairs)).alias("grp"), "fp", "rep")
+    grouped = common.in_blocks(keyed, "fp", block, ["fp", "rep"])
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return grouped.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_links_of_groups(max_bits), "src long, dst long").distinct()
 
