@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share five-word shingles at a Jaccard similarity of 0.8 or more, and of chains of such, the one with the least id stays."""
+    """Of documents whose five-word shingles have a Jaccard similarity of 0.8 or more, and of chains of such, the one with the least id stays.
+
+    Candidates are what the SimHash operator links by its Golay keys, and what the sets' rarest shingles add to that.
+    """
     return shingle_jaccard.one_of_each_component(docs)
 
 
@@ -40,29 +42,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_read_no_more: list[str] = []
-
-
-def _alone(stage: Stage) -> Stage:
-    """A stage's result is written before the next stage is called, which then removes the tables that it was computed from."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.remove(spark, _read_no_more)
-        mark = len(common.created)
-        out = stage(spark, docs, sf_dir)
-        _read_no_more[:] = common.created[mark:]
-        return out
-
-    return run_stage
-
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", _alone(quality)),
-    ("line_dedup", _alone(lines)),
-    ("simhash_near_dedup", _alone(near_duplicates)),
-    ("pii", _alone(personal_data)),
-    ("packing", _alone(pack)),
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("packing", pack),
 ]
 
 #: Learned rules, fingerprints and token ids have no SQL form; tests hold the line, near-copy and personal-data stages against plain Python.
@@ -70,10 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written, and removed when the next one is."""
-    docs, before = common.documents(spark, sf_dir), []
+    """The stages applied to documents; each result is written, then the tables that it was computed from are removed."""
+    docs, read = common.documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
-        common.remove(spark, before)
-        before = common.created[-1:]
+        with common.scratch_scope() as paths:
+            docs = common.materialize(stage(spark, docs, sf_dir), name)
+        common.remove(spark, read + paths[:-1])
+        read = paths[-1:]
     return docs
