@@ -1,17 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, and one on windows of toxic text, which holds the ordinary
-dictionary's content as its background so that lengths differ only by what toxic windows add.  Labels mark whole documents, so the
-toxic windows are first found: words that are spread over toxic documents far beyond what the shares of labels explain (a likelihood ratio;
-near copies are counted once).  A window of eight words is compressed with both dictionaries, and the bytes that the toxic one saves
-are its distance.  A logistic curve, calibrated on documents that trained no dictionary, maps the largest distances of a whole text
-and its number of windows to a score.
+Two zstandard dictionaries are learned apart from each other.  The ordinary one is trained by the library on windows of eight words of ordinary text.  The
+toxic one is made of stretches of toxic text, chosen by compression alone: a stretch that recurs in toxic documents is added to the ordinary
+dictionary, and windows of both kinds that have a part of it are compressed with and without it.  It is kept if the documents in which it saves
+``LEAST_SAVED`` bytes are toxic beyond what the shares of labels explain (a likelihood ratio; near copies are counted once).
 
-The dictionaries and the curve are fitted on a bounded sample of labelled rows (``SAMPLE``, ``SAMPLE_CHARS``); every whole text is scored.
+A window's distance is its length with the ordinary dictionary less its length with the toxic one, which has the ordinary content in front as
+background: without that, lengths differ more by how either happens to express ordinary text than by what is toxic.  A logistic curve maps
+the largest distances of a whole text, and how many of its windows reach ``LEAST_SAVED``, to a score.  It is calibrated by cross-fitting: each
+document's distances come from dictionaries that were learned without it.
+
+Dictionaries and curve are fitted on a bounded sample of labelled rows (``SAMPLE``); every whole text is scored.
 
 Defined results.  Null or empty text: scored like a text of no windows.  No label, or labels of one class: every score is the share of toxic
-labels (0 without any).  Empty table: no rows.  Repeated rows and null ids: a row each; a null id is not held out.  A
-``doc_id`` labelled twice is toxic if any label says so.  Other columns are ignored, and no column but the text enters a score.
+labels (0 without any); so too if no stretch recurs in three toxic documents.  Empty table: no rows.  Repeated rows and null ids: a row each; a null
+id is not held out.  A ``doc_id`` labelled twice is toxic if any label says so; of several texts of one labelled id, the least is learned from.  Other columns are
+ignored, and no column but the text enters a score.
 """
 
 from __future__ import annotations
@@ -30,14 +34,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Documents of either label that are sampled at most, by a hash of the id: ordinary, toxic; and characters of one.
-SAMPLE = (4000, 2000)
-SAMPLE_CHARS = 20_000
+#: Labelled documents that are learned from at most, by a hash of the id: ordinary, toxic.
+SAMPLE = (2400, 1200)
 WINDOW_WORDS = 8
 THRESHOLD = 0.3
+#: Bytes that a toxic stretch saves in a window.
+LEAST_SAVED = 2
+#: Documents in which a stretch has to recur, and the evidence it needs (natural logarithm of the likelihood ratio).
+LEAST_DOCS, LEAST_EVIDENCE = 3, 6.0
+#: A stretch that saves enough in less than half of so many windows is given up.
+TRIALS = 24
+FOLDS = 3
 
 _WORD = re.compile(rb"[^\s.,!?;:#*$%&|<>\"]+")
-_ORDINARY_BYTES, _TOXIC_BYTES = 32_768, 8_192
+#: Bytes of the ordinary dictionary; its header and tables, less than the margin, are cut off.
+_ORDINARY_BYTES, _HEADER_BYTES = 32_768, 1_024
+#: A stretch can only save bytes in windows with which it shares so many in a row.
+_SHARED_BYTES = 6
 
 
 def words_of(text: str) -> list[bytes]:
@@ -48,29 +61,35 @@ def windows_of(words: list[bytes], width: int = WINDOW_WORDS) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(0, len(words), width)]
 
 
-@lru_cache(maxsize=4)
-def _compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """Of windows, with the content as dictionary; its last bytes are padded, as the library doesn't look for matches there."""
     params = zstandard.ZstdCompressionParameters(
-        strategy=zstandard.STRATEGY_DFAST, min_match=5, window_log=17, chain_log=17, hash_log=17, search_log=6, target_length=32,
+        strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=17, chain_log=16, hash_log=16, search_log=6, target_length=32,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
-    raw = lambda content: zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return (
-        zstandard.ZstdCompressor(dict_data=raw(ordinary), compression_params=params),
-        zstandard.ZstdCompressor(dict_data=raw(ordinary + toxic), compression_params=params),
-    )
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + bytes(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
-def distances(text: str, ordinary: bytes, toxic: bytes) -> list[int]:
+@lru_cache(maxsize=4)
+def _compressors(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    return _compressor(ordinary), _compressor(ordinary + toxic)
+
+
+def saved(windows: list[bytes], ordinary: bytes, toxic: bytes) -> list[int]:
     """For each window, the bytes that the toxic dictionary saves."""
     plain, foul = (c.compress for c in _compressors(ordinary, toxic))
-    return [len(plain(w)) - len(foul(w)) for w in windows_of(words_of(text))]
+    return [len(plain(w)) - len(foul(w)) for w in windows]
+
+
+def distances(text: str, ordinary: bytes, toxic: bytes) -> list[int]:
+    return saved(windows_of(words_of(text)), ordinary, toxic)
 
 
-def features(saved: list[int]) -> tuple[float, ...]:
-    top = sorted(saved, reverse=True)[:3] + [0] * (3 - min(3, len(saved)))
-    n = max(1, len(saved))
-    return (*(float(t) for t in top), sum(1 for s in saved if s >= 4) / n, math.log(n))
+def features(found: list[int]) -> tuple[float, ...]:
+    top = sorted(found, reverse=True)[:3] + [0] * (3 - min(3, len(found)))
+    n = max(1, len(found))
+    hits = sum(s >= LEAST_SAVED for s in found)
+    return (*(float(max(0, min(t, 8))) for t in top), float(hits > 0), math.sqrt(hits), hits / n)
 
 
 @dataclass(frozen=True)
@@ -103,25 +122,64 @@ def _near_copies_once(texts: list[str]) -> list[int]:
     return out
 
 
-def toxic_words(ordinary: list[str], toxic: list[str], least_evidence: float = 12.0, times: float = 20.0) -> set[bytes]:
-    """Words whose documents are toxic beyond chance: by the log-likelihood ratio against the share of toxic documents."""
-    counts = [Counter(w for t in texts for w in set(words_of(t))) for texts in (ordinary, toxic)]
-    share = len(toxic) / max(1, len(ordinary) + len(toxic))
-    out = set()
-    for word, c in counts[1].items():
-        o = counts[0][word]
-        p = c / (c + o)
-        if p > share and c > times * o and c * math.log(p / share) + (o * math.log((1 - p) / (1 - share)) if o else 0.0) > least_evidence:
-            out.add(word)
+def ordinary_dictionary(windows: list[bytes]) -> bytes:
+    """Content that the library's trainer chooses; the windows themselves, if they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(_ORDINARY_BYTES + _HEADER_BYTES, windows, k=128, d=8).as_bytes()[_HEADER_BYTES:]
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(windows))[-_ORDINARY_BYTES:]
+
+
+def evidence(toxic: int, ordinary: int, share: float) -> float:
+    """How much likelier the counts of toxic and ordinary documents are by themselves than by the share of toxic ones; 0 if that isn't exceeded."""
+    p = toxic / (toxic + ordinary) if toxic else 0.0
+    return toxic * math.log(p / share) + (ordinary * math.log((1 - p) / (1 - share)) if ordinary else 0.0) if p > share else 0.0
+
+
+def _parts(x: bytes) -> set[bytes]:
+    return {x[i : i + _SHARED_BYTES] for i in range(len(x) - _SHARED_BYTES + 1)}
+
+
+def _holders(docs: list[list[bytes]], stretches: list[bytes]) -> dict[bytes, list[tuple[int, bytes]]]:
+    """For each part of the stretches, the windows that have it, with the numbers of their documents."""
+    wanted = {g for p in stretches for g in _parts(p)}
+    out: dict[bytes, list[tuple[int, bytes]]] = {g: [] for g in wanted}
+    for number, doc in enumerate(docs):
+        for window in doc:
+            for g in _parts(window) & wanted:
+                out[g].append((number, window))
     return out
 
 
-def _dictionary(samples: list[bytes], size: int, k: int, d: int) -> bytes:
-    """Trained content; the samples themselves, if they are too few to train on."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+def toxic_stretches(ordinary: list[list[bytes]], toxic: list[list[bytes]], background: bytes, least_evidence: float = LEAST_EVIDENCE) -> list[bytes]:
+    """Stretches of toxic text that save bytes in windows of toxic documents, by rising evidence; each document is the list of its windows."""
+    share = len(toxic) / max(1, len(ordinary) + len(toxic))
+    plain = _compressor(background).compress
+    length: dict[bytes, int] = {}
+
+    def saved_in(stretch: bytes, holders: dict[bytes, list[tuple[int, bytes]]], enough) -> int:
+        """Documents with a window in which the stretch saves enough.  Windows that have it whole come first; ``enough(tried, found)`` may end the search."""
+        foul, found, tried = _compressor(background + stretch).compress, set(), 0
+        for _, number, window in sorted({(stretch not in w, d, w) for g in _parts(stretch) for d, w in holders[g]}):
+            if number not in found:
+                if window not in length:
+                    length[window] = len(plain(window))
+                if length[window] - len(foul(window)) >= LEAST_SAVED:
+                    found.add(number)
+                tried += 1
+                if enough(tried, len(found)):
+                    break
+        return len(found)
+
+    recur = Counter(p for doc in toxic for p in {b" " + w + b" " for window in doc for w in window.split()})
+    recurring = sorted(p for p, n in recur.items() if n >= LEAST_DOCS and len(p) >= _SHARED_BYTES and evidence(n, 0, share) >= least_evidence)
+    holders = _holders(toxic, recurring)
+    idle = lambda tried, found: tried >= TRIALS and 2 * found < TRIALS
+    saving = {p: n for p in recurring if (n := saved_in(p, holders, idle)) >= LEAST_DOCS and evidence(n, 0, share) >= least_evidence}
+    holders = _holders(ordinary, list(saving))
+    refuted = lambda n: lambda tried, found: evidence(n, found, share) < least_evidence
+    told = [(evidence(n, saved_in(p, holders, refuted(n)), share), p) for p, n in saving.items()]
+    return [p for e, p in sorted(told) if e >= least_evidence]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -137,27 +195,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w
 
 
+def dictionaries(ordinary: list[list[bytes]], toxic: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """The ordinary content and the toxic stretches, learned from documents as lists of windows."""
+    background = ordinary_dictionary([w for doc in ordinary for w in doc])
+    return background, b"".join(toxic_stretches(ordinary, toxic, background))
+
+
 def train(ordinary: list[str], toxic: list[str]) -> Model:
-    """Two thirds of the documents train the dictionaries, the rest calibrate."""
     prior = len(toxic) / max(1, len(ordinary) + len(toxic))
-    fit = [[t for i, t in enumerate(texts) if i % 3] for texts in (ordinary, toxic)]
-    held = [[t for i, t in enumerate(texts) if i % 3 == 0] for texts in (ordinary, toxic)]
-    marks = toxic_words(*([texts[i] for i in _near_copies_once(texts)] for texts in fit))
-    foul = [b" " + w + b" " for t in fit[1] for w in words_of(t) if w in marks]
-    if not foul or not held[0] or not held[1]:
-        return Model(b"", b"", (), (), (), prior)
-    plain = [w for t in fit[0] for w in windows_of(words_of(t), 32)]
-    pick = np.random.default_rng(0).permutation(len(plain))[:20_000]
-    background, added = _dictionary([plain[i] for i in sorted(pick)], _ORDINARY_BYTES, 128, 8), _dictionary(foul, _TOXIC_BYTES, 64, 6)
-    x = np.array([features(distances(t, background, added)) for texts in held for t in texts])
-    y = np.array([0.0] * len(held[0]) + [1.0] * len(held[1]))
+    none = Model(b"", b"", (), (), (), prior)
+    kinds = [[windows_of(words_of(texts[i])) for i in _near_copies_once(texts)] for texts in (ordinary, toxic)]
+    if not all(kinds):
+        return none
+    x, y = [], []
+    for fold in range(FOLDS):
+        learned = dictionaries(*([d for i, d in enumerate(docs) if i % FOLDS != fold] for docs in kinds))
+        for label, docs in enumerate(kinds):
+            held = docs[fold::FOLDS]
+            x += [features(saved(d, *learned)) for d in held]
+            y += [float(label)] * len(held)
+    background, stretches = dictionaries(*kinds)
+    if not stretches:
+        return none
+    x = np.array(x)
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = _logistic((x - center) / scale, y)
-    return Model(background, added, tuple(center.tolist()), tuple(scale.tolist()), tuple(weights.tolist()), prior)
+    weights = _logistic((x - center) / scale, np.array(y))
+    return Model(background, stretches, tuple(center.tolist()), tuple(scale.tolist()), tuple(weights.tolist()), prior)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Ordinary and toxic texts, only of ids that aren't held out; at most ``sample`` ids of either."""
+def training_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> tuple[list[str], list[str]]:
+    """Ordinary and toxic texts, only of ids that aren't held out; at most ``sample`` ids of either, whatever the length of their texts."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ranked = one.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     chosen = None
@@ -165,7 +232,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]
         part = ranked.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     # bounded by ``sample``: a few thousand rows of three numbers
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, sample_chars)).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text"))
     found = sorted(rows.select("h", "doc_id", "toxic", "text").collect(), key=lambda r: (r["h"], r["doc_id"]))
     return [r["text"] for r in found if not r["toxic"]], [r["text"] for r in found if r["toxic"]]
 
@@ -187,5 +254,5 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    return score_documents(docs, train(*training_sample(docs, labels, sample, sample_chars)))
+def toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
+    return score_documents(docs, train(*training_sample(docs, labels, sample)))

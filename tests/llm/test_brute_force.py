@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -180,10 +183,58 @@ def test_toxicity_on_held_out_labels(spark):
     assert test[~toxic].predicted.mean() < 0.06
 
 
-def test_toxic_words_are_found_not_copies():
-    plain = [f"alpha beta gamma number{i} delta" for i in range(300)]
-    foul = [f"alpha beta badword number{1000 + i} delta" for i in range(60)]
-    assert toxicity.toxic_words(plain, foul) == {b"badword"}
+def slow_lengths(dictionary):
+    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=5, window_log=17, chain_log=16, hash_log=16, search_log=6, target_length=32, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary + bytes(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+    return lambda w: len(c.compress(w))
+
+
+def slow_windows(text):
+    words = re.findall(r"[^\s.,!?;:#*$%&|<>\"]+", text.lower())
+    return [(" " + " ".join(words[i : i + 8]) + " ").encode() for i in range(0, len(words), 8)]
+
+
+def toxic_texts():
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    plain = [" ".join(rng.choices(words, k=30)) for _ in range(60)]
+    foul = [" ".join([*rng.choices(words, k=12), rng.choice(["nastyname", "badword"]), *rng.choices(words, k=9)]) for _ in range(24)]
+    return plain, foul
+
+
+def test_toxic_stretches_equal_a_scan_of_all_windows():
+    plain, foul = ([slow_windows(t) for t in texts] for texts in toxic_texts())
+    background = toxicity.ordinary_dictionary([w for d in plain for w in d])
+    share = len(foul) / (len(plain) + len(foul))
+    before, want = slow_lengths(background), set()
+    for piece in {b" " + w + b" " for d in foul for x in d for w in x.split()}:
+        after = slow_lengths(background + piece)
+        has = lambda d: any(before(w) - after(w) >= 2 for w in d)  # noqa: B023, E731
+        n, o = sum(map(has, foul)), sum(map(has, plain))
+        if sum(piece in w for d in foul for w in d) >= 3 and n >= 3 and n / (n + o) > share:
+            p = n / (n + o)
+            if n * math.log(p / share) + (o * math.log((1 - p) / (1 - share)) if o else 0) >= 6.0:
+                want.add(piece)
+    assert set(toxicity.toxic_stretches(plain, foul, background)) == want == {b" nastyname ", b" badword "}
+
+
+def test_scores_are_those_of_window_lengths(spark):
+    plain, foul = toxic_texts()
+    docs = spark.createDataFrame([*enumerate(plain), *enumerate(foul, 1000), (5000, None), (5001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i in [*range(60), *range(1000, 1024)]], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels)
+    m = toxicity.train(*sample)
+    held = {i for i in [*range(60), *range(1000, 1024)] if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sorted(sample[0] + sample[1]) == sorted([t for i, t in enumerate(plain) if i not in held] + [t for i, t in enumerate(foul, 1000) if i not in held])
+    before, after = slow_lengths(m.ordinary), slow_lengths(m.ordinary + m.toxic)
+    got = by_id(toxicity.toxicity(docs, labels))
+    for i, text in [*enumerate(plain), *enumerate(foul, 1000), (5000, ""), (5001, "")]:
+        d = sorted((before(w) - after(w) for w in slow_windows(text)), reverse=True)
+        hits, top, n = sum(x >= 2 for x in d), [max(0, min(8, x)) for x in [*d, 0, 0, 0][:3]], max(1, len(d))
+        x = [*top, hits > 0, hits**0.5, hits / n]
+        z = m.weights[-1] + sum(w * (v - c) / s for w, v, c, s in zip(m.weights, x, m.center, m.scale, strict=False))
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i]["predicted"] == int(i in range(1000, 1024))
 
 
 # -- op5 --------------------------------------------------------------------------------------------------------------------
