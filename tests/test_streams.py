@@ -47,3 +47,34 @@ def test_hold_machine(spark, tmp_path):
     clean = lambda df: sorted((r[0], r[1], *(None if v is None or v != v else v for v in r[2:])) for r in df.collect())
     key = lambda r: tuple((v is not None, v or 0) for v in r)
     assert sorted(clean(got), key=key) == sorted(clean(want), key=key)
+
+
+def test_hold_keeps_types(spark, tmp_path):
+    rows = catalog._events(spark, SF).select("user_id", "event_id", F.when(F.col("event_type") == "click", F.col("event_id")).alias("n"), F.when(F.col("event_type") == "view", F.lit("v")).alias("s"))
+    got = _run(spark, tmp_path, machines.held_values(_stream(spark, tmp_path, rows, "event_id"), "user_id", "event_id", ["n", "s"]))
+    want = holds.hold(rows, "user_id", "event_id", ["n", "s"]).select(got.columns)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_deferred_start_machine(spark, tmp_path):
+    requests = catalog._events(spark, SF).where("event_type = 'signup'").select("user_id", "event_id", (F.col("event_id") % 50 + 1).alias("length"))
+    got = _run(spark, tmp_path, machines.deferred_starts(_stream(spark, tmp_path, requests, "event_id"), "user_id", "event_id", "length"))
+    want = timers.deferred_start(requests, "user_id", "event_id", "length").select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stop_and_restart(spark, tmp_path):
+    """A query that is stopped and started again from its checkpoint goes on with its state: two clocks, one file before the stop and one after."""
+    ops = catalog._timer_ops(spark, SF).withColumn("ticks", F.col("event_id") % 4 + 1)
+    stream = _stream(spark, tmp_path, ops, "event_id")
+    (tmp_path / "in" / "1.parquet").rename(tmp_path / "later.parquet")
+    counts = []
+    for _ in range(2):
+        q = machines.ticks(stream, "user_id", "event_id", "op", "ticks").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+        counts.append(spark.read.parquet(str(tmp_path / "out")).count())
+        if (tmp_path / "later.parquet").exists():
+            (tmp_path / "later.parquet").rename(tmp_path / "in" / "1.parquet")
+    want = timers.active_ticks(ops, "user_id", "event_id", "op", "ticks").select("user_id", "event_id", "tick", "position")
+    assert 0 < counts[0] < counts[1] == want.count()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
