@@ -23,7 +23,8 @@ def register_groups(spark: SparkSession) -> DataFrame:
 
 
 def targets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in TARGETS.items()], "target int, regs array<int>")
+    """A table whose size Spark knows."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, array({', '.join(map(str, v))}))" for k, v in TARGETS.items()) + " AS t(target, regs)")
 
 
 def hex_to_int(text: Column) -> Column:

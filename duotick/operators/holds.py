@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import ordered
 
@@ -30,10 +30,9 @@ def frame_wide(writes: DataFrame, ids: list[str], register: str, value: str, reg
     return writes.groupBy(*ids).pivot(register, registers).agg(F.max(value))
 
 
-def rolling_buffer(rows: DataFrame, key: str, frame: str, size: int, **aggregates) -> DataFrame:
+def rolling_buffer(rows: DataFrame, key: str, frame: str, size: int, span: int | None = None, **aggregates) -> DataFrame:
     """Aggregates over the last ``size`` rows, the current one among them."""
-    w = Window.partitionBy(key).orderBy(frame).rowsBetween(1 - size, 0)
-    return rows.select("*", *(a.over(w).alias(n) for n, a in aggregates.items()))
+    return ordered.rolling(rows, [key], frame, size, aggregates, span)
 
 
 def last_write(writes: DataFrame, instant: list[str], register: str, value: str, seq: str) -> DataFrame:

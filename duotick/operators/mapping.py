@@ -23,10 +23,10 @@ def map_last(rows: DataFrame, mappings: DataFrame, values: str, mapping: str, mi
 
 
 def target_fanout(rows: DataFrame, targets: DataFrame, target: str, values: str, register: str = "register", value: str = "value") -> DataFrame:
-    """One write for each register of the target.  The table of targets is small and fixed, so it is broadcast."""
+    """One write for each register of the target.  Spark broadcasts the table of targets if it is small."""
     zipped = F.explode(F.arrays_zip(F.col("regs").alias("r"), F.col(values).alias("v")))
     kept = [c for c in rows.columns if c not in (values, target)]
-    return rows.join(F.broadcast(targets), target).select(*kept, zipped.alias("__w")).select(*kept, F.col("__w.r").alias(register), F.col("__w.v").alias(value)).where(F.col(register).isNotNull())
+    return rows.join(targets, target).select(*kept, zipped.alias("__w")).select(*kept, F.col("__w.r").alias(register), F.col("__w.v").alias(value)).where(F.col(register).isNotNull())
 
 
 def effects_long(rows: DataFrame, ids: list[str], fields: dict[str, dict[str, str]], names: list[str]) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import registers
 from ..operators import checks, cycles, holds, mapping, ordered, reports, timers
-from ..sources.tables import table
+from ..sources import tunes
+from ..sources.tables import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +22,8 @@ SQL: dict[str, str] = {}
 
 #: Frames of one stretch of a tune: a longer tune is the work of several tasks.
 SPAN = 1 << 20
+#: Days of one stretch of a customer's orders.
+DAYS = 366
 TYPES = ("click", "error", "purchase", "signup", "view")
 OPS = {"signup": "start", "error": "stop", "click": "retune", "view": "remap"}
 
@@ -82,7 +85,7 @@ def frame_wide(spark, d):
 
 @query("SELECT event_id, user_id, count(*) OVER w AS n_held, CAST(sum(event_id) OVER w AS BIGINT) AS sum_held FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
 def rolling_buffer(spark, d):
-    return holds.rolling_buffer(_events(spark, d, "event_id", "user_id"), "user_id", "event_id", 4, n_held=F.count("*"), sum_held=F.sum("event_id"))
+    return holds.rolling_buffer(_events(spark, d, "event_id", "user_id"), "user_id", "event_id", 4, SPAN, n_held=F.count("*"), sum_held=F.sum("event_id"))
 
 
 @query("SELECT event_id // 50 AS frame, event_id % 14 AS register, arg_max(value, event_id) AS value FROM events GROUP BY event_id // 50, event_id % 14")
@@ -115,7 +118,7 @@ def effect_length(spark, d):
 
 @query(f"WITH {_RUNS}, n AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY run) AS next_start FROM runs) SELECT user_id, run, start, stop, next_start, CASE WHEN stop IS NOT NULL THEN 'stop' WHEN next_start IS NOT NULL THEN 'start' ELSE 'open' END AS ended_by FROM n")
 def superseded(spark, d):
-    return timers.superseded(_runs(spark, d).select("user_id", "run", "start", "stop"), "user_id")
+    return timers.superseded(_runs(spark, d).select("user_id", "run", "start", "stop"), "user_id", SPAN)
 
 
 @query("""WITH o AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'stop' WHEN 'click' THEN 'retune' ELSE 'remap' END AS op FROM events WHERE event_type <> 'purchase'),
@@ -138,15 +141,9 @@ def asof_state(spark, d):
     return timers.asof_state(rows.where(_is("purchase")).select("event_id", "user_id"), starts, "user_id", "event_id", ["start_id", "start_value"], SPAN)
 
 
-@query(f"WITH {_RUNS} SELECT e.event_id AS frame, r.user_id, r.run, r.start, r.stop FROM runs r JOIN events e ON e.event_id % 1000 = 0 AND e.event_id >= r.start AND e.event_id < r.stop")
-def active_effects(spark, d):
-    clock = _events(spark, d, "event_id").where("event_id % 1000 = 0").select(F.col("event_id").alias("frame"))
-    return timers.active_effects(clock, _runs(spark, d).select("user_id", "run", "start", "stop"), "frame")
-
-
 @query(f"WITH {_RUNS} SELECT e.event_id AS frame, r.user_id, r.run, r.start, r.stop FROM runs r JOIN events e ON e.event_id >= r.start AND e.event_id < r.stop")
-def active_effects_every_event(spark, d):
-    """``active_effects`` on the whole clock; that query and its SQL ask every 1,000th event only."""
+def active_effects(spark, d):
+    """The clock has a frame for every event."""
     clock = _events(spark, d, "event_id").select(F.col("event_id").alias("frame"))
     return timers.active_effects(clock, _runs(spark, d).select("user_id", "run", "start", "stop"), "frame")
 
@@ -172,20 +169,20 @@ _PHASED = "SELECT event_id, user_id, event_id // 10 AS frame, CASE WHEN event_ty
 @query(f"SELECT event_id, user_id, frame, phase, row_number() OVER (PARTITION BY user_id ORDER BY frame, phase, event_id) - 1 AS pos FROM ({_PHASED})")
 def event_order(spark, d):
     rows = _events(spark, d, "event_id", "user_id", "event_type").select("event_id", "user_id", F.expr("event_id div 10").alias("frame"), F.when(_is("purchase"), 1).otherwise(0).alias("phase"))
-    return timers.event_order(rows, "user_id", "frame", "phase", "event_id")
+    return timers.event_order(rows, "user_id", "frame", "phase", "event_id", span=SPAN)
 
 
 @query("SELECT o_orderkey, o_custkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), lead(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey)) AS INTEGER) AS gap_days FROM orders")
 def gaps(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
-    return timers.gaps(rows, "o_custkey", "day", "o_orderkey").select("o_orderkey", "o_custkey", "gap_days")
+    return timers.gaps(rows, "o_custkey", "day", "o_orderkey", DAYS).select("o_orderkey", "o_custkey", "gap_days")
 
 
 # -- clocks and sources -----------------------------------------------------------------------------------------------------
 
 
 def _numbered(spark, d):
-    return ordered.numbered(_events(spark, d, "event_id", "user_id"), ["user_id"], ["event_id"], "n")
+    return ordered.numbered(_events(spark, d, "event_id", "user_id"), ["user_id"], ["event_id"], "n", SPAN)
 
 
 def _sizes(spark, d):
@@ -215,7 +212,7 @@ def tick_expand(spark, d):
 @query("WITH t AS (SELECT event_id, user_id, unnest(range(0, event_id % 8 + 1)) AS tick FROM events) SELECT event_id, user_id, tick, row_number() OVER (PARTITION BY user_id ORDER BY event_id, tick) - 1 AS number FROM t")
 def tick_number(spark, d):
     rows = _events(spark, d, "event_id", "user_id").withColumn("ticks", F.col("event_id") % 8 + 1)
-    return ordered.numbered(cycles.tick_expand(rows, "ticks").drop("ticks"), ["user_id"], ["event_id", "tick"], "number")
+    return ordered.numbered(cycles.tick_expand(rows, "ticks").drop("ticks"), ["user_id"], ["event_id", "tick"], "number", SPAN)
 
 
 @query("SELECT event_id + 1 AS frame, substr('ABCD', CAST(event_id % 4 + 1 AS INTEGER), 1) AS col, (event_id // 4) * 4 + 5 AS first_row, (event_id // 4) * 4 + 8 AS last_row FROM events")
@@ -408,9 +405,7 @@ SELECT 'stop_after_stop' AS rule, event_id AS key, event_type AS detail FROM o W
 UNION ALL SELECT 'start_after_start', event_id, event_type FROM o WHERE event_type = 'signup' AND p = 'signup'
 UNION ALL SELECT 'first_is_no_start', event_id, event_type FROM o WHERE p IS NULL AND event_type <> 'signup'""")
 def rule_violations(spark, d):
-    from pyspark.sql import Window
-
-    rows = _events(spark, d, "event_id", "user_id", "event_type").withColumn("p", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id")))
+    rows = ordered.previous_row(_events(spark, d, "event_id", "user_id", "event_type"), ["user_id"], "event_id", {"p": F.col("event_type")}, SPAN)
     same = lambda kind: _is(kind) & (F.col("p") == kind)
     rules = {"stop_after_stop": (same("error"), F.col("event_type")), "start_after_start": (same("signup"), F.col("event_type")), "first_is_no_start": (F.col("p").isNull() & ~_is("signup"), F.col("event_type"))}
     return checks.rule_violations(rows, "event_id", rules)
@@ -477,3 +472,92 @@ def group_counts(spark, d):
 def ticks_per_frame(spark, d):
     rows = _events(spark, d, "event_id").select(F.expr("event_id div 10").alias("frame"), (F.col("event_id") % 48 + 1).alias("t")).groupBy("frame").agg(F.sum("t").alias("ticks"))
     return rows.withColumn("per_frame", registers.ticks_per_frame(F.col("ticks"), F.lit(50)))
+
+
+# -- scalars ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, format('0x{:X}', event_id % 256) AS text, CAST(event_id % 256 AS INTEGER) AS value FROM events")
+def hex_values(spark, d):
+    rows = _events(spark, d, "event_id").withColumn("text", F.concat(F.lit("0x"), F.hex(F.col("event_id") % 256)))
+    return rows.withColumn("value", registers.hex_to_int(F.col("text")))
+
+
+@query("SELECT event_id, event_id // 256 % 16 AS high, event_id % 256 AS low, event_id // 256 % 16 * 256 + event_id % 256 AS period FROM events")
+def tone_periods(spark, d):
+    rows = _events(spark, d, "event_id").select("event_id", F.expr("event_id div 256 % 16").alias("high"), (F.col("event_id") % 256).alias("low"))
+    return rows.withColumn("period", registers.tone_period(F.col("high"), F.col("low")))
+
+
+@query("SELECT event_id, 2 << CAST(event_id % 6 AS INTEGER) AS divider, event_id % 256 AS count, CASE WHEN event_id % 256 > 0 THEN CAST(2457600.0 AS DOUBLE) / ((2 << CAST(event_id % 6 AS INTEGER)) * (event_id % 256)) END AS rate FROM events")
+def effect_rates(spark, d):
+    """A count of 0 has no rate."""
+    rows = _events(spark, d, "event_id").select("event_id", F.expr("shiftleft(2, CAST(event_id % 6 AS INT))").alias("divider"), (F.col("event_id") % 256).alias("count"))
+    return rows.withColumn("rate", registers.effect_rate(F.col("divider"), F.col("count")))
+
+
+@query("SELECT event_id, event_id % 200 AS frame_rate, CASE WHEN event_id % 200 > 0 THEN CAST(8000000 AS DOUBLE) / (event_id % 200) END AS cycles, CASE WHEN event_id % 200 > 0 THEN CAST(1000.0 AS DOUBLE) / (event_id % 200) END AS period_ms FROM events")
+def frame_budgets(spark, d):
+    """A rate of 0 has no budget and no period."""
+    rows = _events(spark, d, "event_id").withColumn("frame_rate", F.col("event_id") % 200)
+    return rows.withColumn("cycles", registers.cycles_per_frame(F.col("frame_rate"))).withColumn("period_ms", registers.frame_period_ms(F.col("frame_rate")))
+
+
+# -- tunes as files ---------------------------------------------------------------------------------------------------------
+
+
+def _tune(spark, d):
+    """Clicks set r0 and r8, signups start timer A; the other registers and timers are never set."""
+    set_in = {"r0": (_is("click"), F.col("event_id") % 256), "r8": (_is("click"), F.col("event_id") % 16), "a_source": (_is("signup"), F.col("event_id") % 7), "a_count": (_is("signup"), F.col("event_id") % 256)}
+    made = {f.name: F.when(*set_in[f.name]) if f.name in set_in else F.lit(None) for f in tunes.FRAME_SCHEMA.fields[2:]}
+    rows = _events(spark, d).select(F.col("user_id").alias("tune_id"), F.col("event_id").alias("frame"), "event_type", "event_id")
+    return rows.select("tune_id", "frame", *(made[f.name].cast(f.dataType).alias(f.name) for f in tunes.FRAME_SCHEMA.fields[2:]))
+
+
+_SET = {"r0": "event_id % 256 FILTER click", "r8": "event_id % 16 FILTER click", "a_source": "event_id % 7 FILTER signup", "a_count": "event_id % 256 FILTER signup"}
+_SQL_TYPES = {"smallint": "SMALLINT", "int": "INTEGER"}
+
+
+def _tune_sql() -> str:
+    def one(name: str, kind: str) -> str:
+        if name not in _SET:
+            return f"CAST(NULL AS {_SQL_TYPES[kind]}) AS {name}"
+        value, of = _SET[name].split(" FILTER ")
+        return f"CAST(CASE WHEN event_type = '{of}' THEN {value} END AS {_SQL_TYPES[kind]}) AS {name}"
+
+    return "SELECT user_id AS tune_id, event_id AS frame, " + ", ".join(one(f.name, f.dataType.simpleString()) for f in tunes.FRAME_SCHEMA.fields[2:]) + " FROM events"
+
+
+@query(_tune_sql())
+def tune_json(spark, d):
+    """A tune written as JSON and read again."""
+    path = shared_path(spark, "tune-json")
+    tunes.write_tune_json(_tune(spark, d), path)
+    return tunes.read_tune_json(spark, path)
+
+
+@query(_tune_sql())
+def tune_csv(spark, d):
+    """A tune written as CSV and read again."""
+    path = shared_path(spark, "tune-csv")
+    tunes.write_tune_csv(_tune(spark, d), path)
+    return tunes.read_tune_csv(spark, path)
+
+
+@query("SELECT tune_id, frame, " + ", ".join(f"CASE WHEN {c} IS DISTINCT FROM lag({c}) OVER w THEN {c} END AS {c}" for c in ("r0", "r1")) + " FROM (SELECT user_id AS tune_id, event_id AS frame, event_id // 64 % 4 AS r0, length(event_type) AS r1 FROM events) WINDOW w AS (PARTITION BY tune_id ORDER BY frame)")
+def import_dump(spark, d):
+    dense = _events(spark, d, "event_id", "user_id", "event_type").select(F.col("user_id").alias("tune_id"), F.col("event_id").alias("frame"), F.expr("event_id div 64 % 4").alias("r0"), F.length("event_type").cast("long").alias("r1"))
+    return tunes.import_dump(dense, span=SPAN)
+
+
+# -- two clocks -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH o AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'stop' WHEN 'click' THEN 'retune' ELSE 'remap' END AS op FROM events WHERE event_type <> 'purchase'),
+s AS (SELECT *, last_value(CASE WHEN op IN ('start', 'stop') THEN op END IGNORE NULLS) OVER w = 'start' AS active, sum(CASE WHEN op = 'start' THEN 1 ELSE 0 END) OVER w AS run FROM o WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, coalesce(sum(event_id % 4 + 1) OVER (PARTITION BY user_id, run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE active)
+SELECT event_id, user_id, tick, CAST(before + tick AS BIGINT) AS position FROM (SELECT event_id, user_id, before, unnest(range(0, event_id % 4 + 1)) AS tick FROM p)""")
+def active_ticks(spark, d):
+    """The ticks of each operation's frame while its timer is active, with the source position, which goes on until the next start."""
+    ops = _timer_ops(spark, d).withColumn("ticks", F.col("event_id") % 4 + 1)
+    return timers.active_ticks(ops, "user_id", "event_id", "op", "ticks", SPAN).select("event_id", "user_id", "tick", "position")

@@ -34,6 +34,6 @@ def write_tune_csv(frames: DataFrame, path: str) -> None:
     frames.write.csv(path, header=True, nullValue="")
 
 
-def import_dump(dense: DataFrame, tune: str = "tune_id", frame: str = "frame", registers: list[str] | None = None) -> DataFrame:
+def import_dump(dense: DataFrame, tune: str = "tune_id", frame: str = "frame", registers: list[str] | None = None, span: int | None = None) -> DataFrame:
     """A dump has every register in every frame; a tune has the changes."""
-    return change_only(dense, tune, frame, registers or [c for c in dense.columns if c not in (tune, frame)])
+    return change_only(dense, tune, frame, registers or [c for c in dense.columns if c not in (tune, frame)], span)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -190,3 +191,24 @@ def test_empty_tables(spark):
     none = frames(spark).where("false")
     assert holds.hold(none, "tune", "frame", ["r0"], 10).count() == 0
     assert timers.runs(ops(spark).where("false"), "timer", "frame", F.col("op") == "start", F.col("op") == "stop").count() == 0
+
+
+@pytest.mark.parametrize("span", [1, 2, 10, 1000])
+def test_nulls_in_any_column(spark, span):
+    """Null keys, orders and values: every span gives what one group gives."""
+    data = [(None if k == 2 else k, i, None if (i * 3 + k) % 4 == 0 else (i * 7 + k) % 5) for k in range(3) for i in (0, 1, 2, 5, 9, 10, 11, 25)]
+    data += [(k, None, 3 + (k or 0)) for k in (0, None)]
+    df = spark.createDataFrame(data, "k long, i long, v long")
+    v, last = F.col("v"), lambda f, *a, **b: sorted(map(str, f(df, ["k"], *a, **b).collect()))
+    for f, args in (
+        (ordered.running_last, ("i", {"x": v})), (ordered.running_sum, ("i", {"x": v})), (ordered.running_max, ("i", {"x": v})), (ordered.previous_row, ("i", {"x": v})),
+        (ordered.next_row, (["i"], {"x": v})), (ordered.numbered, (["i"], "x")), (ordered.rolling, ("i", 3, {"x": F.sum("v"), "n": F.count("*")})),
+    ):
+        whole = last(f, *args)
+        assert len(whole) == len(data) and last(f, *args, span=span) == whole, f
+
+
+def test_sum_goes_on_over_a_null_at_a_cut(spark):
+    df = spark.createDataFrame([(1, 0, 5), (1, 1, None), (1, 10, None), (1, 11, 2)], "k long, i long, v long")
+    got = rows(ordered.running_sum(df, ["k"], "i", {"s": F.col("v")}, 10).select("i", "s"), "i")
+    assert got == [(0, 5), (1, 5), (10, 5), (11, 7)]

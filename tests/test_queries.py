@@ -11,7 +11,7 @@ from duotick.plans import catalog
 
 from .conftest import SF
 
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "smallint": "SMALLINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,13 @@ def test_equals_sql(spark, db, name):
     assert sorted((tuple(r) for r in df.collect()), key=key) == sorted(want.fetchall(), key=key)
 
 
+@pytest.mark.parametrize("name", ["hold", "change_only", "runs", "superseded", "timer_state", "asof_state", "deferred_start", "continuous_position", "rolling_buffer", "event_order", "tick_number", "gaps", "rule_violations", "active_ticks", "tick_pipeline"])
+def test_short_stretches_give_the_same(spark, db, monkeypatch, name):
+    monkeypatch.setattr(catalog, "SPAN", 100)
+    monkeypatch.setattr(catalog, "DAYS", 30)
+    test_equals_sql(spark, db, name)
+
+
 def test_no_nested_loops_and_no_python(spark):
     for name, query in catalog.QUERIES.items():
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
