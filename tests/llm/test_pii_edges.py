@@ -45,7 +45,64 @@ def test_hint_holds_for_every_entity(spark):
 
 def test_private_addresses_get_a_wider_range(spark):
     entities = spark.createDataFrame([("192.168.0.4",), ("10.1.2.3",), ("8.8.8.8",)], "canon string")
-    drawn = lambda attempt: {r["canon"]: r["s"] for r in entities.select("canon", pii.draw("k", F.lit("ip"), F.col("canon"), attempt).alias("s")).collect()}
+    drawn = lambda attempt: {r["canon"]: r["s"] for r in entities.select("canon", pii.draw(F.lit("k"), F.lit("ip"), F.col("canon"), attempt).alias("s")).collect()}
     early, late = drawn(pii.LENGTHEN - 1), drawn(pii.LENGTHEN)
     assert early["192.168.0.4"].startswith("192.168.") and late["192.168.0.4"].startswith("10.") and late["10.1.2.3"].startswith("10.")
     assert not late["8.8.8.8"].startswith(("10.", "192.168.")) and all(re.fullmatch(r"\d+(?:\.\d+){3}", s) for s in late.values())
+
+
+def test_all_private_addresses(spark):
+    """More entities than forms of their range: every address of 192.168 gets a private one of its own."""
+    entities = spark.range(1 << 16).select(F.lit("ip").alias("kind"), F.concat(F.lit("192.168."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("canon"))
+    found = {r["canon"]: r["surrogate"] for r in pii.surrogates(entities, "k").collect()}
+    assert len(found) == len(set(found.values())) == 1 << 16 and not set(found) & set(found.values())
+    assert all(re.fullmatch(r"10(?:\.\d{1,3}){3}", x) for x in found.values())
+
+
+def test_formats_stay_in_every_round(spark):
+    entities = spark.createDataFrame([("ssn", "123456789"), ("card", "4111111111111111"), ("phone", "+10175557713"), ("iban", "DE89370400440532013000"), ("ip6", "2001:db8::1"), ("ip", "8.8.8.8")], "kind string, canon string")
+    for attempt in (0, pii.LENGTHEN, pii.LENGTHEN + 20):
+        got = {r["kind"]: r["s"] for r in entities.select("kind", pii.draw(F.lit("k"), F.col("kind"), F.col("canon"), attempt).alias("s")).collect()}
+        digits = [int(c) for c in got["card"]]
+        assert sum(sum(divmod(2 * d, 10)) if k % 2 else d for k, d in enumerate(reversed(digits))) % 10 == 0 and got["card"][0] == "4" and len(digits) == 16
+        assert re.fullmatch(r"\d{9}", got["ssn"]) and re.fullmatch(r"\+1\d{10}", got["phone"]) and re.fullmatch(r"DE\d{20}", got["iban"])
+        assert re.fullmatch(r"[0-9a-f:]{11}|(?:[0-9a-f]{4}:){7}[0-9a-f]{4}", got["ip6"]) and re.fullmatch(r"\d+(?:\.\d+){3}", got["ip"])
+
+
+def test_names(spark):
+    texts = [
+        "Ms May met us. In May she left; Ms May said so.", "Dr. John Smith and Prof. Ada King. Smith left King.", "address 2001:db8::ff00:42:8329 and fe80:0:0:0:1:2:3:4, at 12:30:45",
+        "جاء السيد محمد اليوم", "Mr Paul Jones met Mrs Anna Paul. Paul and Jones left.", "Mr JONES and Mr Jones",
+    ]
+    got = [t for t, _ in replaced(spark, texts)]
+    assert " In May she" in got[0] and "Ms May" not in got[0] and got[0].split()[1] == got[0].split()[9]
+    w = got[1].replace(".", "").split()
+    assert w[0] == "Dr" and w[2] == w[7] and w[6] == w[9] and not {"John", "Smith", "Ada", "King"} & set(w)
+    assert "2001:db8" not in got[2] and "fe80" not in got[2] and got[2].endswith(", at 12:30:45") and len(got[2].split()) == 6
+    assert got[3] != texts[3] and got[3].split()[:2] == texts[3].split()[:2] and got[3].split()[3] == texts[3].split()[3]
+    assert got[5].split()[1] == got[5].split()[4].upper() != "JONES"
+
+
+def test_names_of_all_kinds_are_told_apart(spark):
+    """Given names and surnames, a third of them the same words: no word stands for two, none is another's, and none is rewritten twice."""
+    given = ["".join(x) for x in zip("ABCDEFGHIJKLMNOPQRST", "aeiouaeiouaeiouaeiou", "lmnrslmnrslmnrslmnrs")]
+    texts = [f"Mr {a} {b}son met Mrs {b} {a}. {b}son left." for a, b in zip(given, given[7:] + given[:7])]
+    got = [t.replace(".", "").split() for t, _ in replaced(spark, texts)]
+    male, female, sons, surnames = {}, {}, {}, {}
+    for old, new in zip(texts, got):
+        o = old.replace(".", "").split()
+        for table, k in ((male, 1), (sons, 2), (female, 5), (surnames, 6)):
+            assert table.setdefault(o[k], new[k]) == new[k]
+        assert new[2] == new[7] and new[0] == "Mr" and new[4] == "Mrs"
+    words = [w for table in (male, female, sons, surnames) for w in table.values()]
+    assert len(words) == len(set(words)) == 80 and not set(words) & {w for t in texts for w in t.replace(".", "").split()}
+
+
+def test_the_key_is_in_no_plan(spark):
+    docs = spark.createDataFrame([(1, "Mr Smith, a@b.example.com")], "doc_id long, text string")
+    key = "a key that is very secret"
+    entities = pii.entity_spans(docs).select("kind", "canon").distinct()
+    secret = spark.sql("SELECT * FROM VALUES (:key) AS t(__key)", args={"key": key})
+    df = entities.crossJoin(F.broadcast(secret)).select(pii.draw(F.col("__key"), F.col("kind"), F.col("canon"), 0))
+    plan = df._jdf.queryExecution().toString()
+    assert "very secret" not in plan and "very secret" not in pii.replace_entities(docs, key)._jdf.queryExecution().toString()
