@@ -8,9 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from duotick.llm import common, line_templates, packing, pii, quality_rules, shingle_jaccard
-
-#: A key for the test tables; a real one is a secret.
-PII_KEY = "duotick test key"
+from duotick.llm.queries import PII_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
