@@ -99,6 +99,17 @@ def in_blocks(keyed: DataFrame, unit: str, block: int, columns: list[str]) -> Da
     return marked.select(F.explode(F.when(F.col("blocks").isNull(), F.array(F.xxhash64("key", F.lit(-1), F.lit(-1)))).otherwise(pairs)).alias("grp"), *columns)
 
 
+#: Bytes of stored input for each range of documents, and ranges at most: their bounds are held by the driver.
+RANGE_BYTES, MOST_RANGES = 256 << 20, 20_000
+
+
+def partitions_for(df: DataFrame) -> int:
+    """As many partitions as the session's shuffles have, or more if the input's files ask for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_RANGES, size // RANGE_BYTES)) if size < 1 << 60 else least  # a size that Spark doesn't know is told as the greatest
+
+
 #: Bytes of a batch between the JVM and Python; both sides hold a few for each task.
 BATCH_BYTES = 8 << 20
 

@@ -6,7 +6,9 @@ phrase, and a run of equal symbols is a phrase of its own.  A phrase is named by
 the symbols of the next level.  Whether a cut is made depends on a few neighbours only, so equal substrings get equal
 phrases inside, wherever they stand.
 
-The fingerprint is a bottom-k sketch: the least ``k`` hashes of the names of the sketched levels and of the text as a whole if it has none.
+Levels follow until a text is one phrase, whose name stands for the whole text; each level has at most two thirds of the symbols of the one below or so.
+
+The fingerprint is a bottom-k sketch: the least ``k`` hashes of the names of all levels from ``SKETCH_FROM`` on.
 Two sketches estimate the share of names that the texts have in common.
 
 All documents of a batch are parsed together, as one array with marks where each begins; no step looks across a mark.
@@ -27,8 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
-#: Levels whose names are sketched; a phrase of level 2 has about ten characters, of level 3 about thirty.
-SKETCH_LEVELS = (2, 3)
+#: The lowest level whose names are sketched; every text has it.  A phrase of level 2 has about ten characters, of level 3 about thirty.
+SKETCH_FROM = 2
 SKETCH_SIZE = 64
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -100,7 +102,7 @@ def next_level(symbols: np.ndarray, first: np.ndarray, level: int) -> tuple[np.n
     return names, np.searchsorted(at, first)
 
 
-def sketches(texts: list[str], levels: tuple[int, ...] = SKETCH_LEVELS, size: int = SKETCH_SIZE) -> list[np.ndarray]:
+def sketches(texts: list[str], sketch_from: int = SKETCH_FROM, size: int = SKETCH_SIZE) -> list[np.ndarray]:
     """The least ``size`` distinct 32-bit hashes of the phrase names of each text, ascending."""
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
     full = [i for i, t in enumerate(texts) if t]
@@ -109,12 +111,19 @@ def sketches(texts: list[str], levels: tuple[int, ...] = SKETCH_LEVELS, size: in
     lengths = np.array([len(texts[i]) for i in full])
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     symbols = _mix(np.frombuffer("".join(texts[i] for i in full).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64))
-    rows, found = [], []
-    for level in range(1, max(levels) + 1):
+    rows, found, open_, level = [], [], np.arange(len(full)), 0
+    while len(open_):
+        level += 1
         symbols, first = next_level(symbols, first, level)
-        if level in levels:
-            rows.append(np.repeat(np.arange(len(full)), np.diff(np.append(first, len(symbols)))))
-            found.append((symbols >> np.uint64(32)).astype(np.uint32))
+        lengths = np.diff(np.append(first, len(symbols)))
+        if level < sketch_from:
+            continue
+        rows.append(np.repeat(open_, lengths))
+        found.append((symbols >> np.uint64(32)).astype(np.uint32))
+        # texts that are one phrase are done
+        more = lengths > 1
+        symbols, open_, lengths = symbols[np.repeat(more, lengths)], open_[more], lengths[more]
+        first = np.cumsum(lengths) - lengths
     row, name = np.concatenate(rows), np.concatenate(found)
     both = np.sort(row.astype(np.uint64) << np.uint64(32) | name)  # by text, then by hash
     both = both[np.concatenate([[True], both[1:] != both[:-1]])]
@@ -203,7 +212,7 @@ def fingerprints_with_edits(docs: DataFrame, ranges: int | None = None) -> DataF
     range before as well (that of the first to the last), where it closes the order.  So the texts move once.
     """
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or common.partitions_for(docs)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = [i / ranges for i in range(1, ranges)]
     found = source.agg(F.percentile_approx("doc_id", cuts, min(100 * ranges, 100_000)).alias("q")).first()["q"] if cuts else []

@@ -269,5 +269,5 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shards:
     spark = docs.sparkSession
     folder = folder or common.scratch_path(spark, "sst")
     common.prepare(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or common.partitions_for(docs)
     return read_shards(spark, folder, write_shards(docs, folder, tokenizer_path, end_id, shards))
