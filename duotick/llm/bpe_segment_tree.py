@@ -9,6 +9,8 @@ pieces of a batch are merged together: their trees are the rows of one array, an
 
 Defined results.  Null or empty text: no ids, decoded to the empty text.  Empty table: no rows.  Repeated rows and null ids: a row
 each.  Very long texts, also without white space: whole.  Other columns are ignored.
+
+Cuts and shortcuts are for files with the settings of ``_KNOWN``; with other settings each text is normalized and pre-tokenized whole by the library.
 """
 
 from __future__ import annotations
@@ -27,10 +29,23 @@ from tokenizers import Tokenizer
 
 from . import common
 
-CACHE_CUTS = 600_000
+#: Cuts that a worker remembers, and characters of one, as a cut may be a whole text.
+CACHE_CUTS, CACHE_CHARS = 600_000, 64
 #: Signs that form one piece after a word.
 _SIGNS = ".,!?;:#*$%&)"
 _SPACES = re.compile("[^\\S\x1c-\x1f]+")
+# The normalizer and the pre-tokenizer whose pieces no white space is in, and which lower-case words.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
 _NONE = 1 << 62
 _PLACE = 32  # bits of the place below the rank
 
@@ -162,6 +177,9 @@ class Codec:
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model, self._tokenizer = spec["model"], Tokenizer.from_file(path)
+        if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path}: not a plain BPE model")
+        self._known = all(spec.get(k) == v for k, v in _KNOWN.items())
         self._normalize = self._tokenizer.normalizer.normalize_str if self._tokenizer.normalizer else str
         self._pre = self._tokenizer.pre_tokenizer.pre_tokenize_str
         self._vocab: dict[str, int] = model["vocab"]
@@ -181,9 +199,9 @@ class Codec:
     def _pieces_of(self, cut: str) -> list[str]:
         """What the normalizer and the pre-tokenizer make of a cut; special tokens are pieces of their own."""
         body = cut.rstrip(_SIGNS)
-        if body.isascii() and body.isalpha():  # what the general case below gives, sooner
+        if self._known and body.isascii() and body.isalpha():  # what the general case below gives, sooner
             return [body.lower()] if len(body) == len(cut) else [body.lower(), cut[len(body) :]]
-        parts = self._split.split(cut) if self._split and "<" in cut else [cut]
+        parts = self._split.split(cut) if self._split and (not self._known or "<" in cut) else [cut]
         return [p for part in parts if part for p in ([part] if part in self._special else [x for x, _ in self._pre(self._normalize(part))])]
 
     def _learn(self, cuts: set[str]) -> None:
@@ -198,9 +216,16 @@ class Codec:
         for cut, pieces in pieces_of.items():
             found = [self._pieces[p] for p in pieces]
             self._seen[cut] = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]]))
+        for piece in new:
+            if len(piece) > CACHE_CHARS:
+                del self._pieces[piece]
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids, little-endian unsigned of 32 bits, and the decoded text."""
+        if not self._known:
+            self._learn(set(texts))
+            ids = {t: self._seen.pop(t)[0] for t in set(texts)}
+            return [(ids[t], self._tokenizer.decode(np.frombuffer(ids[t], dtype="<u4").tolist(), skip_special_tokens=False)) for t in texts]
         odd = re.compile("[\x1c-\x1f]").search  # white space to Python, not to the pre-tokenizer
         cut_texts = [_SPACES.split(t) if odd(t) else t.split() for t in texts]
         cuts = {c for cuts in cut_texts for c in cuts}
@@ -211,6 +236,9 @@ class Codec:
         for cuts in cut_texts:
             found = [seen[c] for c in cuts]
             out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])))
+        for cut in new:
+            if len(cut) > CACHE_CHARS:
+                del seen[cut]
         return out
 
     def encode(self, text: str) -> tuple[bytes, str]:

@@ -8,15 +8,17 @@ space, special tokens, NUL) go to the library whole.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Cuts that a worker remembers; when there are more, it starts afresh.
-CACHE_CUTS = 900_000
+#: Cuts that a worker remembers, when there are more, it starts afresh; and characters of one, as a cut may be a whole text.
+CACHE_CUTS, CACHE_CHARS = 900_000, 64
 _SPACE = re.compile("[\\s᠎]")
 
 
@@ -67,10 +69,20 @@ class _Cuts(dict):
             raise _Whole
         else:
             ids = b"".join([self._ids(piece) for piece, _ in self._pre(cut)])
-        self[cut] = ids
+        if len(cut) <= CACHE_CHARS:
+            self[cut] = ids
         return ids
 
 
+def _cuts_are_safe(path: str) -> bool:
+    """Whether the file's settings are those for which texts may be cut; with any others texts go to the library whole."""
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    return byte_level and not spec.get("normalizer") and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in odd)
+
+
 class Encoder:
     """``encode(text)`` gives ids as bytes of ``dtype``, little-endian unsigned, as narrow as the vocabulary allows."""
 
@@ -79,6 +91,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = special_as_text
+        self._safe = _cuts_are_safe(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         specials = () if special_as_text else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self._cuts = _Cuts(self.tokenizer, specials, "H" if self.dtype == "<u2" else "I")
@@ -89,7 +102,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if "\0" in text:
+        if not self._safe or "\0" in text:
             return self.whole(text)
         try:
             return b"".join(map(self._cuts.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))

@@ -598,6 +598,34 @@ def test_bpe_of_odd_texts():
         assert np.frombuffer(raw, dtype="<u4").tolist() == ids and decoded == t.decode(ids, skip_special_tokens=False), text
 
 
+def test_bpe_with_other_settings():
+    """A file whose settings the shortcuts don't know is encoded by whole texts; long cuts aren't kept."""
+    t, codec = Tokenizer.from_file(BYTE), bpe_segment_tree.codec(BYTE)
+    assert not codec._known and bpe_segment_tree.codec(WORD)._known
+    for text in ODD:
+        ids = t.encode(text, add_special_tokens=False).ids
+        raw, decoded = codec.encode(text)
+        assert np.frombuffer(raw, dtype="<u4").tolist() == ids and decoded == t.decode(ids, skip_special_tokens=False), text
+    known = bpe_segment_tree.codec(WORD)
+    known.encode("z" * 5000 + " short")
+    assert max(map(len, known._seen)) <= 64 and max(map(len, known._pieces)) <= 64
+    enc = encoding.Encoder(WORD)
+    assert not enc._safe and all(enc.encode(x) == enc.whole(x) for x in ODD)
+    enc = encoding.Encoder(BYTE)
+    enc.encode("z" * 5000 + " short")
+    assert max(map(len, enc._cuts)) <= 64
+
+
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    folder = (tmp_path / "tokens").as_uri()
+    docs = spark.createDataFrame([(i, "a few words " * i) for i in range(20)], "doc_id long, text string")
+    (tmp_path / "tokens").mkdir()
+    (tmp_path / "tokens" / "tokens-000000-lost.bin").write_bytes(np.array([5, 50256, 7, 50256], dtype="<u2").tobytes())
+    got = {r["doc_id"]: r["n_tokens"] for r in separator_scan.document_token_counts(docs, BYTE, 50256, folder=folder).collect()}
+    t = Tokenizer.from_file(BYTE)
+    assert got == {i: len(t.encode("a few words " * i).ids) for i in range(20)}
+
+
 def test_segment_tree_equals_a_scan():
     rng = random.Random(9)
     merges, nxt = {}, 6

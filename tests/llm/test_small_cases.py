@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from duotick.llm import bpe_segment_tree, line_templates, locally_consistent, packing, pii, quality_rules, separator_scan, simhash_golay, sstable, toxicity
+from duotick.llm import bpe_segment_tree, line_templates, locally_consistent, packing, pii, quality_rules, separator_scan, shingle_jaccard, simhash_golay, sstable, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LONG = "wort und mehr " * 20_000
@@ -80,3 +80,37 @@ def test_all_labels_of_one_kind(docs, spark):
     good = spark.createDataFrame([(1, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r["rule"] for r in quality_rules.quality_verdicts(docs, good).collect()} == {0}
     assert {r["score"] for r in toxicity.toxicity(docs, good).collect()} == {0.0}
+
+
+def test_packing_of_all_rows(docs):
+    """Nulls, empty and very long texts, repeated rows: each row's pieces lie gapless in their sequences."""
+    rows = packing.pack_documents(docs, BYTE).collect()
+    one = [r for r in rows if r["start"] == 0]
+    assert sorted((r["doc_id"] or -1) for r in one) == sorted((i or -1) for i, _ in ROWS)
+    assert {r["doc_id"]: r["doc_tokens"] for r in one}[2] == {r["doc_id"]: r["doc_tokens"] for r in one}[3] == 1
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in one)
+
+
+def test_stages_judge_every_row_by_its_own_text(spark, labels):
+    """Null ids, repeated rows, rows of one id and unlike texts, ties, and columns with names of their own."""
+    good = "Plain words that nobody has any reason to reject, twelve of them at least here."
+    rows = [(1, good), (1, "bad"), (None, good), (None, "bad"), (2, None), (3, ""), (4, good), (4, good)]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rule", F.lit("clash")).withColumn("first", F.lit("clash")).withColumn("version", F.lit("clash"))
+    kept = quality_rules.reject_poor(given, labels.where("false"))
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in given.collect() if r["text"] == good)
+    alone = shingle_jaccard.one_of_each_component(given)
+    assert alone.columns == given.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in alone.collect()) == sorted((str(a), str(b)) for a, b in [(1, good), (1, "bad"), (None, good), (None, "bad"), (2, None)])
+    lines = line_templates.drop_recurring_lines(given)
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in lines.collect())
+    # rows of one id are one document, so its lines stay in all of them; of others they go
+    assert got == sorted((str(a), str(b)) for a, b in [(1, good), (1, "bad"), (None, ""), (None, ""), (2, None), (3, ""), (4, ""), (4, "")])
