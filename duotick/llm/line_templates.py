@@ -38,6 +38,8 @@ SIMILARITY = 0.8
 WILDCARD = b"<*>"
 #: Distinct lines that one task compares with one another.
 PART_LINES = 2000
+#: Tasks that a leaf's lines are dealt to at most before they are merged.
+MOST_DEALS = 64
 #: Bytes of banded rows that are handed on at once.
 BAND_BYTES = 4 << 20
 
@@ -235,11 +237,15 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float =
     common.prepare(docs.sparkSession)
     source = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("version"), "text").where("text IS NOT NULL")
     lines = common.materialize(common.map_batches(source, _lines_batch, _LINES), "lines")
-    # written first, so that Spark can split the join for a leaf of very many lines
-    shared = common.materialize(lines.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    near = common.materialize(lines.select("leaf", "line", "doc", "version", "place").join(shared.hint("merge"), "leaf", "left_semi").drop("leaf"), "near")
-    each = lines.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.first("tail").alias("tail"))
-    distinct = common.materialize(each.join(shared.hint("merge"), "leaf", "left_semi"), "distinct")
+    # a leaf of very many lines is dealt to several tasks by their hashes; the short table of leaves has a row for each deal
+    deals = max(1, min(MOST_DEALS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    recur = lines.select("leaf", "doc").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs)
+    shared = common.materialize(recur.select("leaf", F.explode(F.array(*map(F.lit, range(deals)))).alias("deal")), "leaves")
+    dealt = lines.withColumn("deal", F.pmod("line", F.lit(deals)).cast("int"))
+    near = common.materialize(dealt.select("leaf", "deal", "line", "doc", "version", "place").join(shared.hint("merge"), ["leaf", "deal"], "left_semi").drop("leaf", "deal"), "near")
+    each = dealt.groupBy("leaf", "deal", "line").agg(F.first("n").alias("n"), F.first("tail").alias("tail"))
+    distinct = common.materialize(each.join(shared.hint("merge"), ["leaf", "deal"], "left_semi").drop("deal"), "distinct")
+    common.free_shuffles(docs.sparkSession)
     templates = common.materialize(line_templates(distinct, similarity), "lines-of-templates")
     found = near.join(templates.hint("merge"), "line").select("template", "doc", "version", "place")
     recurring = found.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("first")).where(F.col("docs") >= min_docs)
