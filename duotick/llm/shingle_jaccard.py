@@ -40,7 +40,7 @@ PERCENT = 80
 #: The share of all hashes that is in the range.
 SHARE = 0.3
 #: Times that documents are sifted; any number gives the same links.
-SIFTS = 2
+SIFTS = 1
 #: Bits of a sketch at least and at most: as many as the set has shingles, but longer ones would outweigh what they spare.
 SKETCH_BITS = (64, 2048)
 #: Documents of one key that one task compares.
