@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are learned apart from each other.  The ordinary one is trained by the library on windows of eight words of ordinary text.  The
-toxic one is made of stretches of toxic text, chosen by compression alone: a stretch that recurs in toxic documents is added to the ordinary
-dictionary, and windows of both kinds that have a part of it are compressed with and without it.  It is kept if the documents in which it saves
-``LEAST_SAVED`` bytes are toxic beyond what the shares of labels explain (a likelihood ratio; near copies are counted once).
+toxic one is made of stretches of toxic text, chosen by compression alone: a stretch, that is a word or a beginning that several words share,
+is added to the ordinary dictionary if it recurs in toxic documents, and windows of both kinds that have a part of it are compressed with and without it.  It is
+kept if the documents in which it saves ``LEAST_SAVED`` bytes, and stretches that were kept before don't, are toxic beyond what the shares of
+labels explain (a likelihood ratio; near copies are counted once).
 
 A window's distance is its length with the ordinary dictionary less its length with the toxic one, which has the ordinary content in front as
 background: without that, lengths differ more by how either happens to express ordinary text than by what is toxic.  A logistic curve maps
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,20 +37,23 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 #: Labelled documents that are learned from at most, by a hash of the id: ordinary, toxic.
-SAMPLE = (2400, 1200)
+SAMPLE = (2400, 600)
 WINDOW_WORDS = 8
 THRESHOLD = 0.3
 #: Bytes that a toxic stretch saves in a window.
 LEAST_SAVED = 2
 #: Documents in which a stretch has to recur, and the evidence it needs (natural logarithm of the likelihood ratio).
-LEAST_DOCS, LEAST_EVIDENCE = 3, 6.0
+LEAST_DOCS, LEAST_EVIDENCE = 3, 8.0
 #: A stretch that saves enough in less than half of so many windows is given up.
 TRIALS = 24
+#: A beginning of words is passed over for one that is longer by a byte and in so large a share of its documents.
+SAME = 0.9
 FOLDS = 3
 
 _WORD = re.compile(rb"[^\s.,!?;:#*$%&|<>\"]+")
-#: Bytes of the ordinary dictionary; its header and tables, less than the margin, are cut off.
-_ORDINARY_BYTES, _HEADER_BYTES = 32_768, 1_024
+#: Bytes of the ordinary dictionary; its header and tables, less than the margin, are cut off.  A larger one has more of the parts of toxic words, which
+#: then save less.
+_ORDINARY_BYTES, _HEADER_BYTES = 8_192, 1_024
 #: A stretch can only save bytes in windows with which it shares so many in a row.
 _SHARED_BYTES = 6
 
@@ -151,35 +156,71 @@ def _holders(docs: list[list[bytes]], stretches: list[bytes]) -> dict[bytes, lis
     return out
 
 
-def toxic_stretches(ordinary: list[list[bytes]], toxic: list[list[bytes]], background: bytes, least_evidence: float = LEAST_EVIDENCE) -> list[bytes]:
-    """Stretches of toxic text that save bytes in windows of toxic documents, by rising evidence; each document is the list of its windows."""
+def _windows_for(stretch: bytes, holders: dict[bytes, list[tuple[int, bytes]]]) -> Iterator[tuple[int, bytes]]:
+    """Windows that have a part of the stretch, with their documents; those that have it whole come first."""
+    lists = [holders[stretch[i : i + _SHARED_BYTES]] for i in range(len(stretch) - _SHARED_BYTES + 1)]
+    whole = dict.fromkeys(x for x in min(lists, key=len) if stretch in x[1])
+    yield from whole
+    yield from (x for x in dict.fromkeys(x for found in lists for x in found) if x not in whole)
+
+
+def _beginnings(docs: list[list[bytes]]) -> Counter[bytes]:
+    """Beginnings of words, and words with the space behind, with the number of documents that have them."""
+    words = ({b" " + w + b" " for window in doc for w in window.split()} for doc in docs)
+    return Counter(p for doc in words for p in {w[:n] for w in doc for n in range(_SHARED_BYTES, len(w) + 1)})
+
+
+def toxic_stretches(ordinary: list[list[bytes]], toxic: list[list[bytes]], background: bytes, least_evidence: float | None = None) -> list[bytes]:
+    """Stretches of toxic text that save bytes in windows of toxic documents, by rising evidence; each document is the list of its windows.
+
+    A stretch is a word or the beginning of several.  One that shares a part with a chosen one counts only where the chosen ones don't save
+    enough, so a beginning stands for all words that have it.
+    """
+    least_evidence = LEAST_EVIDENCE if least_evidence is None else least_evidence
     share = len(toxic) / max(1, len(ordinary) + len(toxic))
+
     plain = _compressor(background).compress
     length: dict[bytes, int] = {}
 
-    def saved_in(stretch: bytes, holders: dict[bytes, list[tuple[int, bytes]]], enough) -> int:
-        """Documents with a window in which the stretch saves enough.  Windows that have it whole come first; ``enough(tried, found)`` may end the search."""
-        foul, found, tried = _compressor(background + stretch).compress, set(), 0
-        for _, number, window in sorted({(stretch not in w, d, w) for g in _parts(stretch) for d, w in holders[g]}):
+    def saved_in(stretch: bytes, chosen: bytes, holders: dict[bytes, list[tuple[int, bytes]]], enough) -> int:
+        """Documents with a window in which the stretch saves enough and the chosen ones don't; ``enough(tried, found)`` may end the search."""
+        known, foul, found, tried = _compressor(background + chosen).compress, _compressor(background + stretch + chosen).compress, set(), 0
+        for number, window in _windows_for(stretch, holders):
             if number not in found:
                 if window not in length:
                     length[window] = len(plain(window))
-                if length[window] - len(foul(window)) >= LEAST_SAVED:
+                most = length[window] - LEAST_SAVED
+                if not (chosen and len(known(window)) <= most) and len(foul(window)) <= most:
                     found.add(number)
                 tried += 1
                 if enough(tried, len(found)):
                     break
         return len(found)
 
-    recur = Counter(p for doc in toxic for p in {b" " + w + b" " for window in doc for w in window.split()})
-    recurring = sorted(p for p, n in recur.items() if n >= LEAST_DOCS and len(p) >= _SHARED_BYTES and evidence(n, 0, share) >= least_evidence)
-    holders = _holders(toxic, recurring)
     idle = lambda tried, found: tried >= TRIALS and 2 * found < TRIALS
-    saving = {p: n for p in recurring if (n := saved_in(p, holders, idle)) >= LEAST_DOCS and evidence(n, 0, share) >= least_evidence}
-    holders = _holders(ordinary, list(saving))
     refuted = lambda n: lambda tried, found: evidence(n, found, share) < least_evidence
-    told = [(evidence(n, saved_in(p, holders, refuted(n)), share), p) for p, n in saving.items()]
-    return [p for e, p in sorted(told) if e >= least_evidence]
+    enough_for = lambda n: n >= LEAST_DOCS and evidence(n, 0, share) >= least_evidence
+
+    recur = _beginnings(toxic)
+    same = {p[:-1] for p, n in recur.items() if n >= SAME * recur.get(p[:-1], math.inf)}
+    recurring = sorted(p for p, n in recur.items() if enough_for(n) and p not in same)
+    in_toxic = _holders(toxic, recurring)
+    saving = {p: n for p in recurring if enough_for(n := saved_in(p, b"", in_toxic, idle))}
+    in_ordinary = _holders(ordinary, list(saving))
+    told = [(evidence(n, saved_in(p, b"", in_ordinary, refuted(n)), share), len(p), p) for p, n in saving.items()]
+    chosen: list[bytes] = []
+    parts: set[bytes] = set()
+    for e, _, p in sorted(told, reverse=True):
+        if e < least_evidence:
+            break
+        if _parts(p) & parts:
+            before = b"".join(reversed(chosen))
+            n = saved_in(p, before, in_toxic, idle)
+            if not enough_for(n) or evidence(n, saved_in(p, before, in_ordinary, refuted(n)), share) < least_evidence:
+                continue
+        chosen.append(p)
+        parts |= _parts(p)
+    return chosen[::-1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:

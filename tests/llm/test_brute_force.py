@@ -180,7 +180,7 @@ def test_toxicity_on_held_out_labels(spark):
     auc = (rank[toxic].sum() - n * (n + 1) / 2) / (n * (len(test) - n))
     assert auc > 0.9
     assert (test.predicted == (test.score >= 0.3)).all() and test.score.between(0, 1).all()
-    assert test[~toxic].predicted.mean() < 0.06
+    assert test[~toxic].predicted.mean() < 0.06 and test[toxic].predicted.mean() > 0.85
 
 
 def slow_lengths(dictionary):
@@ -218,6 +218,35 @@ def test_toxic_stretches_equal_a_scan_of_all_windows():
     assert set(toxicity.toxic_stretches(plain, foul, background)) == want == {b" nastyname ", b" badword "}
 
 
+def test_a_beginning_stands_for_the_words_that_share_it():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    ends = ["".join(rng.choices("ijklm", k=3)) for _ in range(40)]
+    plain = [slow_windows(" ".join(rng.choices(words, k=24))) for _ in range(80)]
+    foul = [slow_windows(" ".join([*rng.choices(words, k=9), "zqxvw" + ends[i], *rng.choices(words, k=8), *["badword"] * (i % 5 == 0)])) for i in range(20)]
+    background = toxicity.ordinary_dictionary([w for d in plain for w in d])
+    share, before = len(foul) / (len(plain) + len(foul)), slow_lengths(background)
+
+    def evidence(piece, chosen):
+        known, after = slow_lengths(background + chosen), slow_lengths(background + piece + chosen)
+        new = lambda w: before(w) - after(w) >= 2 and not (chosen and before(w) - known(w) >= 2)
+        n, o = (sum(any(map(new, d)) for d in docs) for docs in (foul, plain))
+        p = n / max(1, n + o)
+        return n * math.log(p / share) + (o * math.log((1 - p) / (1 - share)) if o else 0) if n >= 3 and p > share else 0.0
+
+    begins = [{(b" " + w + b" ")[:k] for x in d for w in x.split() for k in range(6, len(w) + 3)} for d in foul]
+    count = {p: sum(p in b for b in begins) for p in set().union(*begins)}
+    longer = {p[:-1] for p, n in count.items() if p[:-1] in count and n >= 0.9 * count[p[:-1]]}
+    told = sorted(((evidence(p, b""), len(p), p) for p, n in count.items() if n >= 3 and n * math.log(1 / share) >= 8 and p not in longer), reverse=True)
+    want = []
+    for e, _, p in told:
+        touches = any(p[i : i + 6] in c for c in want for i in range(len(p) - 5))
+        if e >= 8 and (not touches or evidence(p, b"".join(reversed(want))) >= 8):
+            want.append(p)
+    assert toxicity.toxic_stretches(plain, foul, background, 8.0) == want[::-1]
+    assert len(want) == 1 and want[0].startswith(b" zqxvw") and len(want[0]) < len(b" zqxvwiii")
+
+
 def test_scores_are_those_of_window_lengths(spark):
     plain, foul = toxic_texts()
     docs = spark.createDataFrame([*enumerate(plain), *enumerate(foul, 1000), (5000, None), (5001, "")], "doc_id long, text string")
