@@ -80,6 +80,51 @@ def test_active_effects_equal_the_theta_join(spark):
         assert rows(timers.active_effects(clock, found, "f", bucket), "f", "timer") == want
 
 
+def test_active_effects_of_odd_clocks(spark):
+    """Frames that repeat beyond a list, are null, below zero or missing, and further columns; runs that are empty, open or longer than the clock."""
+    at = [*range(-300, 300, 7), *[5] * 300, *[128] * 3, None, None]
+    clock = spark.createDataFrame([(f, i) for i, f in enumerate(at)], "f long, row long")
+    found = [("a", -1000, 1000), ("b", 5, 6), ("c", 6, 6), ("d", 9, 3), ("e", 0, None), ("f", None, 9), ("g", -128, 129), ("h", 127, 128), ("g", -128, 129)]
+    want = sorted((f, i, *r) for i, f in enumerate(at) for r in found if None not in (f, r[1], r[2]) and r[1] <= f < r[2])
+    for bucket in (1, 16, 1024):
+        got = timers.active_effects(clock, spark.createDataFrame(found, "timer string, start long, stop long"), "f", bucket)
+        assert got.columns == ["f", "row", "timer", "start", "stop"] and sorted(rows(got)) == want
+
+
+def test_active_effects_leave_small_files(spark, tmp_path):
+    """Many rows, which repeat: under half a byte for each, also where no table is small enough to be broadcast."""
+    whole = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    clock = spark.range(20_000).select(F.col("id").alias("f"))
+    found = spark.range(1500).selectExpr("id AS timer", "pmod(xxhash64(id), 16000) AS start").selectExpr("timer", "start", "start + 1 + pmod(xxhash64(timer, start), 4000) AS stop")
+    try:
+        timers.active_effects(clock, found, "f").write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", whole)
+    n = spark.read.parquet(str(tmp_path / "out")).count()
+    assert n == found.select(F.sum(F.col("stop") - F.col("start"))).first()[0] > 1_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < n / 2
+
+
+def generated(plan):
+    """Rows that the plan's generators made when it ran, the last one's first."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return generated(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return generated(plan.plan())
+    below = [n for i in range(plan.children().size()) for n in generated(plan.children().apply(i))]
+    return [plan.metrics().get("numOutputRows").get().value(), *below] if name.startswith("Generate") else below
+
+
+def test_a_long_run_is_cut_into_few_rows(spark):
+    """2,000 runs of a million frames meet the clock as 62 rows each, not as 978."""
+    found = spark.range(2000).selectExpr("id AS timer", "id AS start", "id + 1000000 AS stop")
+    df = timers.active_effects(spark.createDataFrame([(5,), (999_999,), (1_000_000,)], "f long"), found, "f")
+    assert len(df.collect()) == 6 + 2000 + 1999
+    assert generated(df._jdf.queryExecution().executedPlan())[-1] == 62 * 2000
+
+
 def test_timer_state(spark):
     df = spark.createDataFrame([(1, 1, "stop"), (1, 2, "start"), (1, 3, "retune"), (1, 4, "stop"), (1, 5, "remap"), (1, 6, "stop")], "k long, frame long, op string")
     got = [(r.state, r.effective) for r in timers.timer_state(df, "k", "frame", "op").orderBy("frame").collect()]
