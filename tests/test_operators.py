@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -106,6 +107,30 @@ def test_active_effects_leave_small_files(spark, tmp_path):
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < n / 2
 
 
+def test_active_effects_are_written_in_bounded_row_groups(spark, tmp_path):
+    """Parquet's writer looks at its memory after every row of a long row group of small rows.  What can't be null has no marks for it; types stay; a caller's own setting stands."""
+    clock = spark.range(16_384).select(F.col("id").cast("int").alias("f"))
+    found = spark.range(100).selectExpr("CASE WHEN id <> 7 THEN id END AS timer", "CAST(id AS SMALLINT) AS start", "id + 16000 AS stop")
+    timers.active_effects(clock, found, "f").write.parquet(str(tmp_path / "out"))
+    files = [pq.ParquetFile(p) for p in (tmp_path / "out").glob("*.parquet")]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 1_600_000 and max(groups) == 1 << 19
+    schema = files[0].schema_arrow
+    assert [(c.name, str(c.type), c.nullable) for c in schema] == [("f", "int32", False), ("timer", "int64", True), ("start", "int16", False), ("stop", "int64", False)]
+    spark.conf.set("parquet.block.row.count.limit", "1000000")
+    try:
+        timers.active_effects(clock, found, "f").write.parquet(str(tmp_path / "own"))
+    finally:
+        spark.conf.unset("parquet.block.row.count.limit")
+    files = [pq.ParquetFile(p) for p in (tmp_path / "own").glob("*.parquet")]
+    assert max(f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) == 1_000_000
+
+
+def test_active_effects_are_dealt_to_several_tasks_a_partition(spark):
+    df = timers.active_effects(spark.range(10).select(F.col("id").alias("f")), spark.createDataFrame([("a", 1, 5)], "timer string, start long, stop long"), "f")
+    assert df.rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def generated(plan):
     """Rows that the plan's generators made when it ran, the last one's first."""
     name = plan.nodeName()
